@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -40,18 +41,54 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), several
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _ranges(chars: str) -> str:
+    """The characters as a regular-expression class of few ranges."""
+    out, points = [], sorted(map(ord, chars))
+    start = last = points[0]
+    for point in [*points[1:], sys.maxunicode + 2]:
+        if point != last + 1:
+            out.append(chr(start) if start == last else f"{chr(start)}-{chr(last)}")
+            start = point
+        last = point
+    return "[" + "".join(out) + "]"
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
 def ascii_fold(text: Column) -> Column:
-    """Compatibility decomposition without anything outside ASCII, lower case."""
+    """Compatibility decomposition without anything outside ASCII, lower case.
+
+    ASCII text passes untouched. Other text is translated one to one; the few characters that
+    decompose into several are expanded only where one is left.
+    """
     source, target, several = _ascii_tables()
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()])
-    expanded = F.when(
-        text.rlike("[" + "".join(several) + "]"),
-        F.aggregate(pairs, text, lambda done, pair: F.replace(done, pair["k"], pair["v"])),
-    ).otherwise(text)
-    one_to_one = F.translate(expanded, source, target)
-    # Most text is ASCII already or has only Latin accents: skip the tables where they do nothing.
-    folded = F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(one_to_one, r"[^\x00-\x7F]", ""))
-    return F.lower(folded.otherwise(text))
+    left = _ranges("".join(several))
+
+    def expand(translated: Column) -> Column:
+        # One constant: each entry is a character followed by what it decomposes into.
+        entries = F.split(F.lit("\u0001".join(k + v for k, v in several.items())), "\u0001")
+        expanded = F.aggregate(
+            entries, translated, lambda done, e: F.replace(done, F.left(e, F.lit(1)), F.substring(e, 2, 100))
+        )
+        strange = F.regexp_replace(translated, r"[\x00-\x7F]+", "")
+        rest = F.when(strange.rlike(left), expanded).otherwise(translated)
+        return F.when(is_ascii(translated), translated).otherwise(F.regexp_replace(rest, NOT_ASCII, ""))
+
+    def fold(value: Column) -> Column:
+        plain = with_value(F.translate(value, source, target), expand)
+        return F.lower(F.when(is_ascii(value), value).otherwise(plain))
+
+    return with_value(text, fold)
 
 
 def fold_text(text: Column) -> Column:
@@ -112,11 +149,14 @@ def recognize_mode(text: Column) -> Column:
     return F.when(folded.isin(*MODES), folded)
 
 
-def escape_truncate(text: Column, limit: int) -> Column:
-    spaced = collapse_spaces(text)
-    escaped = spaced
+def escape_all(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        escaped = F.replace(escaped, F.lit(char), F.lit(entity))
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def escape_truncate(text: Column, limit: int) -> Column:
+    escaped = escape_all(collapse_spaces(text))
     cut = F.regexp_replace(F.left(escaped, F.lit(limit)), "&[#a-zA-Z0-9]*$", "")
     return F.when(F.length(escaped) <= limit, escaped).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
 

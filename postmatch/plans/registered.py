@@ -1,4 +1,7 @@
 """Imports every module that registers queries."""
 
-from postmatch.plans import registered_funnel  # noqa: F401
+from postmatch.plans import (  # noqa: F401
+    registered_funnel,
+    registered_matching,
+)
 from postmatch.plans.registry import ORACLES, QUERIES  # noqa: F401
