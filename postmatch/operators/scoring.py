@@ -163,7 +163,7 @@ def _same_course(accepted: Column) -> Column:
         theirs.endswith("s") & ~theirs.contains(" "), F.left(theirs, F.length(theirs) - 1)
     ).otherwise(theirs)
     pattern = F.concat(F.lit(r"\b(?:\Q"), theirs, F.lit(r"\E|\Q"), singular, F.lit(r"\E)\b"))
-    inside = F.when(mine.contains(singular) & F.col("p_area").isNotNull(), mine.rlike(pattern))
+    inside = F.when(mine.contains(singular) & F.col("p_area").isNotNull(), F.rlike(mine, pattern))
     return (mine != "") & ((theirs == mine) | F.coalesce(inside, F.lit(False)))
 
 

@@ -3,5 +3,6 @@
 from postmatch.plans import (  # noqa: F401
     registered_funnel,
     registered_matching,
+    registered_scoring,
 )
 from postmatch.plans.registry import ORACLES, QUERIES  # noqa: F401
