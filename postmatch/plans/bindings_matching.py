@@ -12,6 +12,7 @@ from postmatch.operators import scoring
 from postmatch.operators.candidates import posting_features
 from postmatch.operators.dedup import ad_key, duplicate_key
 from postmatch.plans.bindings import case, table
+from postmatch.session import cut_lineage
 from postmatch.sources.regions import build_region_catalog, identify_municipality, state_codes
 
 CATALOG = AreaCatalog(
@@ -175,7 +176,8 @@ def rule_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, regions = places(spark, sf_dir)
     located = identify_municipality(rule_postings(spark, sf_dir), "location", states, regions)
-    return posting_features(located, CATALOG)
+    # Features are a table of their own: read several times, computed once, without the long texts.
+    return cut_lineage(posting_features(located, CATALOG).drop("description", "f_title", "f_description"))
 
 
 RULES_SQL = """v_rule_postings as (
@@ -220,7 +222,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = scoring.accepted_course_names(extractions(spark, sf_dir))
-    return course_dictionary(people(spark, sf_dir).select("course").union(accepted), CATALOG)
+    return cut_lineage(course_dictionary(people(spark, sf_dir).select("course").union(accepted), CATALOG))
 
 
 def all_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,15 +230,17 @@ def all_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = extractions(spark, sf_dir).select(
         F.explode(F.concat("required_skills", "main_skills", "nice_skills")).alias("skill")
     )
-    return skill_dictionary(mine.union(asked))
+    return cut_lineage(skill_dictionary(mine.union(asked)))
 
 
-def people_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def people_features(
+    spark: SparkSession, sf_dir: str, named: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
     states, regions = places(spark, sf_dir)
-    ready = scoring.profile_features(
-        people(spark, sf_dir), CATALOG, courses(spark, sf_dir), all_skills(spark, sf_dir)
-    )
-    return identify_municipality(ready, "p_city", states, regions, prefix="p_")
+    named = courses(spark, sf_dir) if named is None else named
+    known = all_skills(spark, sf_dir) if known is None else known
+    ready = scoring.profile_features(people(spark, sf_dir), CATALOG, named, known)
+    return cut_lineage(identify_municipality(ready, "p_city", states, regions, prefix="p_"))
 
 
 PEOPLE_SQL = """v_people as (
@@ -318,11 +322,12 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = named.select(
         F.col("o_custkey").alias("p_profile_id"), (F.col("o_orderkey") % F.col("n")).alias("seq"), "o_orderkey"
     )
-    asked = scoring.extraction_features(
-        extractions(spark, sf_dir), CATALOG, courses(spark, sf_dir), all_skills(spark, sf_dir), ["source", "external_id"]
+    named, known = courses(spark, sf_dir), all_skills(spark, sf_dir)
+    asked = cut_lineage(
+        scoring.extraction_features(extractions(spark, sf_dir), CATALOG, named, known, ["source", "external_id"])
     )
-    posts = features(spark, sf_dir).join(asked, ["source", "external_id"])
-    return pairs.join(posts, "seq").join(people_features(spark, sf_dir), "p_profile_id")
+    posts = features(spark, sf_dir).drop("tails").join(asked, ["source", "external_id"])
+    return pairs.join(posts, "seq").join(people_features(spark, sf_dir, named, known), "p_profile_id")
 
 
 PAIRS_SQL = "v_pairs as (select o_custkey as profile_id, o_orderkey % (select max(doc_id) + 1 from documents) as seq, o_orderkey from orders)"

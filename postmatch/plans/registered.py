@@ -2,6 +2,7 @@
 
 from postmatch.plans import (  # noqa: F401
     registered_funnel,
+    registered_history,
     registered_matching,
     registered_scoring,
 )

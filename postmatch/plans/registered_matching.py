@@ -159,9 +159,9 @@ from v_pairs o join v_posting_places d on d.seq = o.seq join v_people p on p.pro
 def discard_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First discard reason of the pairs the orders table names."""
     keys = ["source", "external_id"]
-    features = M.features(spark, sf_dir)
-    people = M.people_features(spark, sf_dir)
-    mentions = C.course_mentions(features, M.courses(spark, sf_dir), keys).select(
+    features, courses = M.features(spark, sf_dir), M.courses(spark, sf_dir)
+    people = M.people_features(spark, sf_dir, courses)
+    mentions = C.course_mentions(features, courses, keys).select(
         *keys, F.col("course").alias("p_course"), F.lit(True).alias("_mentioned")
     )
     last = B.table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n")).withColumn("_one", F.lit(1))
@@ -184,9 +184,9 @@ def discard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = M.features(spark, sf_dir)
-    mentions = C.course_mentions(features, M.courses(spark, sf_dir), ["source", "external_id"])
-    return C.candidate_pairs(features, M.people_features(spark, sf_dir), mentions)
+    features, courses = M.features(spark, sf_dir), M.courses(spark, sf_dir)
+    mentions = C.course_mentions(features, courses, ["source", "external_id"])
+    return C.candidate_pairs(features, M.people_features(spark, sf_dir, courses), mentions)
 
 
 CANDIDATES_SQL = f"""{M.MATCHING_SQL}, v_candidates as (
