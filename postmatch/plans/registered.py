@@ -5,5 +5,6 @@ from postmatch.plans import (  # noqa: F401
     registered_history,
     registered_matching,
     registered_scoring,
+    registered_sources,
 )
 from postmatch.plans.registry import ORACLES, QUERIES  # noqa: F401
