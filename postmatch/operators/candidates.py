@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmatch import fixed_values as V
-from postmatch.functions.audience import affirmative_groups, audience
+from postmatch.functions.audience import with_audience
 from postmatch.functions.context import areas_in_description, course_tails, requires_years
 from postmatch.functions.courses import AreaCatalog, plain_fold
 from postmatch.functions.text import fold_text
@@ -68,11 +68,9 @@ def posting_features(postings: DataFrame, catalog: AreaCatalog) -> DataFrame:
     both = F.concat_ws(" ", title, description)
     titles = [(a.name, catalog.title_pattern(a, plain_fold)) for a in catalog.areas]
     exclusions = [(a.name, rf"\b(?:{a.exclusion})\b") for a in catalog.areas if a.exclusion]
-    flagged = folded.withColumns(
+    flagged = with_audience(folded).withColumns(
         {
             **title_flags(title),
-            "audience": audience(F.col("title"), F.col("description"), title, description),
-            "groups": affirmative_groups(F.col("description"), F.col("title")),
             "requires_years": requires_years(both),
             "any_course_text": description.rlike(V.ANY_COURSE),
             "remote_text": both.rlike(V.REMOTE_WORK),

@@ -87,6 +87,11 @@ DOCUMENTS_SQL = f"""v_documents as (
   from documents))"""
 
 
+def compared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow columns similarity needs, computed once."""
+    return cut_lineage(keyed_documents(spark, sf_dir).select("seq", "ad_key", "words", "company_key"))
+
+
 def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return docs.withColumns(
@@ -315,13 +320,17 @@ EXTRACTIONS_SQL = """v_extractions as (
   from part)"""
 
 
+def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(profile, posting) pairs the orders table names."""
+    documents_to = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] + 1
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("p_profile_id"), (F.col("o_orderkey") % documents_to).alias("seq"), "o_orderkey"
+    )
+
+
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs named by the orders table, joined to posting, extraction and profile features."""
-    docs = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n"))
-    named = table(spark, sf_dir, "orders").join(F.broadcast(docs.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    pairs = named.select(
-        F.col("o_custkey").alias("p_profile_id"), (F.col("o_orderkey") % F.col("n")).alias("seq"), "o_orderkey"
-    )
+    pairs = order_pairs(spark, sf_dir)
     named, known = courses(spark, sf_dir), all_skills(spark, sf_dir)
     asked = cut_lineage(
         scoring.extraction_features(extractions(spark, sf_dir), CATALOG, named, known, ["source", "external_id"])

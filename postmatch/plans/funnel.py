@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from postmatch.functions.dates import instant, local_midnight, local_week, micros_between
 from postmatch.operators.keyed import exact_median, first_per_key
 from postmatch.plans import names as N
+from postmatch.session import cut_lineage
 
 Moment = datetime | str
 PAIR = ("profile_id", "posting_id")
@@ -389,8 +390,9 @@ def funnel_row(
     members = cohort(profiles, now, days)
     clean = clean_events(events, profiles, now)
     delivered = cohort_deliveries(deliveries, members, now)
-    interactions = pair_events(clean, delivered)
-    grouped = delivery_groups(deliveries, postings, now, days)
+    # Read by five metrics: only events of delivered cohort pairs, a small part of the log.
+    interactions = cut_lineage(pair_events(clean, delivered))
+    grouped = cut_lineage(delivery_groups(deliveries, postings, now, days))
     recently_read = F.col("extracted_at").between(window_start(now, days), instant(now))
     parts = [
         cohort_counts(members, clean, delivered, interactions, now),

@@ -65,7 +65,7 @@ select seq from v_documents a where a.seq % 2 = 0 and not exists (select 1 from
   where b.seq % 2 = 1 and a.ad_key = b.ad_key and {SIMILAR_SQL})""",
 )
 def drop_republications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.keyed_documents(spark, sf_dir)
+    docs = M.compared_documents(spark, sf_dir)
     kept = dedup.drop_republications(docs.filter(F.col("seq") % 2 == 0), docs.filter(F.col("seq") % 2 == 1), ["seq"])
     return kept.select("seq")
 
@@ -78,7 +78,7 @@ select seq from v_documents a where a.seq % 9 <> 0 and not exists (select 1 from
   and (a.company_key = b.company_key or a.company_key = 'confidencial' or b.company_key = 'confidencial'))""",
 )
 def drop_closed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.keyed_documents(spark, sf_dir)
+    docs = M.compared_documents(spark, sf_dir)
     return dedup.drop_closed(docs, docs.filter(F.col("seq") % 9 == 0), ["seq"]).select("seq")
 
 
@@ -95,7 +95,7 @@ select distinct a.seq from v_documents a join v_documents b on a.ad_key = b.ad_k
 )
 def similar_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents similar to an earlier one of their block: the pairs are never emitted."""
-    docs = M.keyed_documents(spark, sf_dir).select("seq", "ad_key", "words")
+    docs = M.compared_documents(spark, sf_dir)
     word = F.explode(dedup.prefix_words(F.col("words"))).alias("word")
     enough = F.size("words") >= 20
     left = docs.filter(enough).select("*", word).alias("a")
@@ -164,9 +164,7 @@ def discard_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = C.course_mentions(features, courses, keys).select(
         *keys, F.col("course").alias("p_course"), F.lit(True).alias("_mentioned")
     )
-    last = B.table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n")).withColumn("_one", F.lit(1))
-    orders = B.table(spark, sf_dir, "orders").join(F.broadcast(last), F.lit(1) == F.col("_one"))
-    pairs = orders.select("o_orderkey", F.col("o_custkey").alias("p_profile_id"), (F.col("o_orderkey") % F.col("n")).alias("seq"))
+    pairs = M.order_pairs(spark, sf_dir)
     joined = pairs.join(features.drop("tails"), "seq").join(people.drop("p_declared"), "p_profile_id")
     named = joined.join(mentions, [*keys, "p_course"], "left")
     return named.select("o_orderkey", C.pair_reason(F.coalesce("_mentioned", F.lit(False))).alias("reason"))
