@@ -599,7 +599,16 @@ def rate_limit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.limit_site_events(B.events(spark, sf_dir))
 
 
-@register("event_dedup")
+@register(
+    "event_dedup",
+    f"""with recursive {B.EVENTS_SQL}, p as (select id, profile_id, occurred_at from v_events where name = 'candidatura_iniciada'),
+kept as (select profile_id, occurred_at, id from p qualify row_number() over (partition by profile_id order by occurred_at, id) = 1
+  union all select n.profile_id, n.occurred_at, n.id from kept k, lateral (select * from p where p.profile_id = k.profile_id
+    and p.occurred_at >= k.occurred_at + interval 1 day order by p.occurred_at, p.id limit 1) n)
+select id, 'entregas_pausadas' as name from kept
+union all select min(id), 'vaga_aberta' from v_events where name = 'vaga_aberta' group by profile_id, posting_id
+union all select id, name from v_events where name not in ('vaga_aberta', 'candidatura_iniciada')""",
+)
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.drop_repeats(_named_events(spark, sf_dir)).select("id", "name")
 
