@@ -363,11 +363,11 @@ def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.agreement(_judged(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
 
 
-GOLD_SQL = "v_gold as (select profile_id, source, external_id, seq % 4 <> 0 as gold from v_judged where seq % 3 = 0)"
+GOLD_SQL = "v_gold as (select profile_id, source, external_id, seq % 4 <> 0 as gold from v_judged where feedback is not null)"
 
 
 def _gold(judged: DataFrame) -> DataFrame:
-    return judged.filter(F.col("seq") % 3 == 0).select(*E.DELIVERY, (F.col("seq") % 4 != 0).alias("relevant"))
+    return judged.filter(F.col("feedback").isNotNull()).select(*E.DELIVERY, (F.col("seq") % 4 != 0).alias("relevant"))
 
 
 @register(
@@ -459,16 +459,16 @@ def upsert_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "additive_upsert",
-    """select event_type as source, ts::date as day, (count(*) filter (where event_id % 2 = 0) + 2 * count(*) filter (where event_id % 3 = 0))::bigint as requests
-from events group by 1, 2 having count(*) filter (where event_id % 2 = 0 or event_id % 3 = 0) > 0""",
+    """select event_type as source, ts::date as day, (count(*) + 2 * count(*) filter (where value > 50))::bigint as requests
+from events group by 1, 2""",
 )
 def additive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def usage(every: int, weight: int) -> DataFrame:
-        rows = B.table(spark, sf_dir, "events").filter(F.col("event_id") % every == 0)
+    def usage(rows: DataFrame, weight: int) -> DataFrame:
         keyed = rows.groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("day"))
         return keyed.agg((F.count(F.lit(1)) * weight).alias("requests"))
 
-    return WR.add_usage(usage(2, 1), usage(3, 2))
+    events = B.table(spark, sf_dir, "events")
+    return WR.add_usage(usage(events, 1), usage(events.filter(F.col("value") > 50), 2))
 
 
 @register(

@@ -61,25 +61,31 @@ SIMILAR_SQL = """len(a.words) >= 20 and len(b.words) >= 20
 @register(
     "drop_republications",
     f"""with {M.DOCUMENTS_SQL}
-select seq from v_documents a where a.seq % 2 = 0 and not exists (select 1 from v_documents b
-  where b.seq % 2 = 1 and a.ad_key = b.ad_key and {SIMILAR_SQL})""",
+select seq from v_documents a where not exists (select 1 from v_documents b
+  where b.seq in (select doc_id from labels where quality = 1) and a.ad_key = b.ad_key and {SIMILAR_SQL})""",
 )
 def drop_republications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents similar to no document labelled good."""
     docs = M.compared_documents(spark, sf_dir)
-    kept = dedup.drop_republications(docs.filter(F.col("seq") % 2 == 0), docs.filter(F.col("seq") % 2 == 1), ["seq"])
-    return kept.select("seq")
+    known = docs.join(_labelled(spark, sf_dir, "quality"), "seq", "left_semi")
+    return dedup.drop_republications(docs, known, ["seq"]).select("seq")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return B.table(spark, sf_dir, "labels").filter(F.col(column) == 1).select(F.col("doc_id").alias("seq"))
 
 
 @register(
     "drop_closed_postings",
-    f"""with {M.DOCUMENTS_SQL}, closed as (select * from v_documents where seq % 9 = 0)
-select seq from v_documents a where a.seq % 9 <> 0 and not exists (select 1 from closed b
+    f"""with {M.DOCUMENTS_SQL}, closed as (select * from v_documents where seq in (select doc_id from labels where toxic = 1))
+select seq from v_documents a where a.seq not in (select seq from closed) and not exists (select 1 from closed b
   where a.ad_key = b.ad_key and {SIMILAR_SQL}
   and (a.company_key = b.company_key or a.company_key = 'confidencial' or b.company_key = 'confidencial'))""",
 )
 def drop_closed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = M.compared_documents(spark, sf_dir)
-    return dedup.drop_closed(docs, docs.filter(F.col("seq") % 9 == 0), ["seq"]).select("seq")
+    closed = docs.join(_labelled(spark, sf_dir, "toxic"), "seq", "left_semi")
+    return dedup.drop_closed(docs, closed, ["seq"]).select("seq")
 
 
 @register("dedupe_near_greedy")
