@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import warc
+from postmatch.llm import langid, licenses, packing, quality, token_counts, warc
 from postmatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Folder of public tokenizer vocabularies.
+TOKENIZERS = os.environ.get("POSTMATCH_TOKENIZERS", "/opt/tokenizers")
+
+
 def register(name: str, oracle: str | None = None):
     def add(query):
         QUERIES[name] = query
@@ -39,3 +44,47 @@ def register(name: str, oracle: str | None = None):
 )
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@register("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_langid")
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def _notices_sql() -> str:
+    rows = ", ".join(f"('{name}', '{text}')" for name, text in licenses.NOTICES)
+    words = r"""list_filter(list_transform(string_split(lower(regexp_replace({t}, '[\x09-\x0D\x20]+', ' ', 'g')), ' '),
+        lambda w: regexp_replace(regexp_replace(w, '^[\pP\pS]+', ''), '[\pP\pS]+$', '')), lambda w: w <> '')"""
+    grams = """list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1),
+        lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))"""
+    return f"""
+    with t as (select license_id, {words.format(t="txt")} as w from (values {rows}) v(license_id, txt)),
+    tg as (select license_id, {grams} as g from t),
+    d as (select row_number() over () as r, doc_id, {words.format(t="text")} as w from documents),
+    dg as (select r, doc_id, unnest({grams}) as g from d where len(w) > 0),
+    hit as (select r, doc_id, license_id, count(*) as n from dg
+            join (select license_id, unnest(g) as g from tg) using (g) group by all)
+    select doc_id, license_id, n / len(g) as containment from hit join tg using (license_id)
+    where n / len(g) >= 0.75
+    """
+
+
+@register("op3_licenses", _notices_sql())
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.notice_templates(spark))
+    return found.select("doc_id", "license_id", "containment")
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{token_counts.VOCABULARY}")
+
+
+@register("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
