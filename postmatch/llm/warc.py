@@ -64,8 +64,8 @@ def _urn(page_id):
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
-def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """One WARC/1.1 record per row; a revisit carries headers only. Archives hold about `archive_bytes`."""
+def write_archives(records: DataFrame, path: str, records_per_archive: int = 0) -> None:
+    """One WARC/1.1 record per row; a revisit carries headers only. A task begins a new archive after so many records."""
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     http = F.concat(
@@ -89,7 +89,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         F.lit(END * 2),
     )
     text = records.select(F.concat(head, http, body).alias("value"))
-    text.write.option("lineSep", END * 2).option("compression", "gzip").text(path)
+    text.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -169,7 +169,7 @@ def archive_round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
     """Deduplicated archives of all pages, written to the shared folder and read back."""
     spark = pages.sparkSession
     records = resolve_revisits(headers_of(pages))
-    total = pages.select(F.sum(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
+    size = pages.select(F.avg(F.octet_length(F.col("html").cast("string")) + 600).alias("n")).first()["n"] or archive_bytes
     path = shared_folder(spark)
-    write_archives(records.repartition(max(1, math.ceil(total / archive_bytes), spark.sparkContext.defaultParallelism)), path)
+    write_archives(records, path, max(1, math.ceil(archive_bytes / size)))
     return expand_revisits(read_archives(spark, path, with_payload=False))
