@@ -44,6 +44,7 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     path = shared_folder(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the table
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -101,6 +102,13 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return scramble((sums[ends] - sums[starts]) * down[starts])
 
 
+def all_span_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the spans of one length at every position."""
+    n = max(0, len(sums) - length)
+    _, down = _powers(len(sums))
+    return scramble((sums[length:] - sums[:n]) * down[:n])
+
+
 def runs_of(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; no run crosses one of the sorted `breaks`."""
     if not len(mask):

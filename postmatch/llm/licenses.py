@@ -89,9 +89,11 @@ def scan(documents: DataFrame, templates: DataFrame, least: float = LEAST, bands
     index = hashed.select("license_id", "wanted", F.explode(own).alias("_own"))
     index = index.select("license_id", "wanted", F.posexplode(_bands(F.col("_own"), bands)).alias("band", "value")).distinct()
 
-    texts = documents.select(F.col(key).alias(key), words_of(F.col("text").cast("string")).alias("_w"))
-    rows = texts.filter(F.size("_w") > 0).select(key, "_w", shingle_hashes(F.col("_w")).alias("_h"))
-    near = rows.filter(F.arrays_overlap("_h", known)).withColumn("_row", F.monotonically_increasing_id())
+    # The row number keeps Spark from moving the filters below the projection, where the word and shingle
+    # lists would be computed again for every element.
+    texts = documents.select(F.col(key).alias(key), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_w"))
+    rows = texts.select(key, "_w", shingle_hashes(F.col("_w")).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    near = rows.filter(F.arrays_overlap("_h", known))
     starts = _window_starts(F.size("_h") + STRIDE - 1, width, STRIDE)
     kept = F.filter(starts, lambda p: F.arrays_overlap(F.slice(F.col("_h"), p + 1, width), known))
     windows = near.select(key, "_row", "_w", "_h", F.explode(kept).alias("_p"))

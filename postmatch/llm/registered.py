@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import langid, licenses, packing, quality, token_counts, warc
+from postmatch.llm import langid, licenses, packing, quality, repeats, token_counts, warc
 from postmatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+@register("op1_repeats")
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
