@@ -125,3 +125,21 @@ def runs_of(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def arrow_rows(**columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in columns.values()], list(columns))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable over undirected edges (a, b), for all nodes on an edge.
+
+    Labels pass along edges and then jump to their label's label, so the number of rounds grows with the
+    logarithm of a chain's length. Each round is a written table.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    while True:
+        offers = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
+        moved = labels.join(offers, "node").select("node", F.col("root").alias("before"), F.least("root", "offer").alias("root"))
+        jumps = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
+        step = stored(moved.join(jumps, "root", "left").select("node", "before", F.least("root", F.coalesce("jump", "root")).alias("root")))
+        labels = step.select("node", "root")
+        if step.filter(F.col("before") != F.col("root")).isEmpty():
+            return labels

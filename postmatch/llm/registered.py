@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import langid, licenses, packing, quality, repeats, token_counts, warc
+from postmatch.llm import jaccard, langid, licenses, packing, quality, repeats, token_counts, warc
 from postmatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_repeats")
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
+@register("op4_jaccard")
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
