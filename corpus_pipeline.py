@@ -9,6 +9,7 @@ which returns the packed sequences. The first stage learns from the labels and t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmatch.llm import decontamination, jaccard, packing, quality, repeats
 from postmatch.llm.common import shared_folder, table
@@ -26,7 +27,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def unrepeated_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur elsewhere; n_chars follows the text."""
-    return repeats.without_repeats(docs)
+    kept = repeats.without_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmatch.llm.common import BYTE_CODES, arrow_rows, components, pieces, prefix_sums, runs_of, scramble, span_hash, stored, utf8
@@ -129,7 +130,7 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(texts: DataFrame) -> DataFrame:
-    """(doc_id, f, n, bits) of every row; f is null without shingles."""
+    """(doc_id, t, f, n, bits) of every row; f is null without shingles, t is a hash of the text."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +139,9 @@ def _classes(texts: DataFrame) -> DataFrame:
                 n.append(len(tokens))
                 f.append(fingerprint(tokens) if len(tokens) else None)
                 bits.append(parity_bits(tokens) if len(tokens) else None)
-            yield arrow_rows(doc_id=batch.column("doc_id"), f=pa.array(f, pa.int64()), n=pa.array(n, pa.int64()), bits=pa.array(bits, pa.binary()))
+            yield arrow_rows(doc_id=batch.column("doc_id"), t=batch.column("t"), f=pa.array(f, pa.int64()), n=pa.array(n, pa.int64()), bits=pa.array(bits, pa.binary()))
 
-    return texts.mapInArrow(named, "doc_id long, f long, n long, bits binary")
+    return texts.mapInArrow(named, "doc_id long, t long, f long, n long, bits binary")
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, place: np.ndarray, names: bool) -> DataFrame:
@@ -202,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFra
             rows = [(wanted[row], own.tobytes()) for row, own in sets_of(batch.column("text")) if len(own) and fingerprint(own) == wanted[row]]
             yield arrow_rows(f=pa.array([r[0] for r in rows], pa.int64()), tokens=pa.array([r[1] for r in rows], pa.binary()))
 
-    held = texts.withColumnRenamed("doc_id", "_doc").join(owners, "_doc").select("f", "text").mapInArrow(tokens, "f long, tokens binary")
+    held = texts.withColumn("_doc", F.coalesce("doc_id", F.lit(-1))).join(owners, "_doc").select("f", "text").mapInArrow(tokens, "f long, tokens binary")
     held = stored(held.groupBy("f").agg(F.min("tokens").alias("tokens")))
     both = pairs.join(held.select(F.col("f").alias("x"), F.col("tokens").alias("tx")), "x").join(
         held.select(F.col("f").alias("y"), F.col("tokens").alias("ty")), "y"
@@ -229,15 +230,14 @@ def _distance(inter, nx, ny):
 
 
 def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): rows (doc_id, f, n); links (x, y, common, nx, ny) between classes.
+    """(rows, classes, links): rows (doc_id, t, f, n); links (x, y, common, nx, ny) between classes.
 
     The links are all verified and connect every pair of similar classes, directly or through others.
     """
-    texts = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     rows = stored(_classes(texts))
-    classes = stored(rows.filter(F.col("f").isNotNull()).groupBy("f").agg(F.min("doc_id").alias("_doc"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    classes = stored(rows.filter(F.col("f").isNotNull()).groupBy("f").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("_doc"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     frequent, place = _frequent(texts)
     shared = _prefixes(texts, frequent, place, False).groupBy("tok").agg(F.sum("c").alias("c")).filter(F.col("c") > 1)
     lists = stored(_prefixes(texts, frequent, place, True).join(shared.select("tok"), "tok", "left_semi").distinct())
@@ -293,20 +293,36 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, classes, links.unionByName(more)
 
 
-def similar_components(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def rooted(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, own): rows (doc_id, t, f, n) and, per class, (f, least, root): its smallest id and its component."""
     rows, classes, links = class_links(documents)
     roots = stored(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    own = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "_doc", F.coalesce("root", "f").alias("root"))
-    named = own.groupBy("root").agg(F.min("_doc").alias("component_id"))
+    own = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root"))
+    return rows, own
+
+
+def similar_components(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows, own = rooted(documents)
+    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
     of = own.select("f", "root").join(named, "root").select("f", "component_id")
     found = rows.join(of, "f", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_per_component(documents: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each component, all columns kept; one row of repeated rows with that id."""
-    found = similar_components(documents).filter(F.col("doc_id") == F.col("component_id"))
-    kept = found.select(F.col("doc_id").alias("_keep")).distinct()
-    rows = documents.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_keep"), "left_semi")
-    return rows
+    """One document of each component, all columns kept: smallest id first (null last), then the text's hash.
+
+    Of repeated rows one stays; documents without words all stay.
+    """
+    rows, own = rooted(documents)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("t").alias("_t"))
+    first = rows.join(own.select("f", "root"), "f").groupBy("root").agg(F.min(order).alias("o"))
+    kept = first.select("o._k", "o._t").union(rows.filter(F.col("f").isNull()).select(F.coalesce("doc_id", F.lit(-1)), "t")).distinct()
+    names = documents.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = documents.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"), F.xxhash64(text).alias("_t"))
+    again = F.row_number().over(W.partitionBy("_k", "_t").orderBy(F.lit(0)))
+    found = keyed.join(kept, ["_k", "_t"], "left_semi").withColumn("_n", again)
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return found.filter((F.col("_n") == 1) | blank).select(*names)
