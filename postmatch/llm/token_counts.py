@@ -7,8 +7,8 @@ count at a pre-token's last node is its number of tokens. A character that no pi
 bytes. The log probability of a piece follows Zipf's law over the vocabulary's own order of its pieces.
 
 Defined cases: null, empty and blank texts count 0; equal scores prefer fewer tokens; every input row
-gives one output row. The trie is started anew once it holds `MAX_NODES` nodes, which bounds memory and
-changes no count.
+gives one output row. A task forgets its counts once it holds `MAX_KEPT` of them, which bounds memory and
+changes no result.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmatch.llm.common import arrow_rows
+from postmatch.llm.common import arrow_rows, pieces, utf8
 
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 #: Logarithm of one byte of a character that no piece covers: below that of every piece.
 BYTE_SCORE = -16.0
-MAX_NODES = 400_000
+MAX_KEPT = 1_000_000
 
 
 def zipf_scores(model_file: str) -> dict[str, float]:
@@ -43,44 +43,72 @@ def zipf_scores(model_file: str) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log(rank + 1) - total for rank, i in enumerate(normal)}
 
 
+def piece_trie(scores: dict[str, float]) -> dict:
+    """Nested dicts by character; the empty key holds the score of a piece that ends there."""
+    root: dict = {}
+    for piece, score in scores.items():
+        node = root
+        for ch in piece:
+            node = node.setdefault(ch, {})
+        node[""] = score
+    return root
+
+
 class PreTokenTrie(dict):
-    """Token counts by pre-token. A missing one is inserted in the trie, scoring only its new nodes."""
+    """Token counts by pre-token.
+
+    `insert` walks the trie of new pre-tokens depth first, which is their sorted order, so only the nodes
+    on the current path are held. A node keeps its forward score and the pieces that may go on beyond it:
+    their place in the trie of pieces and the forward score before them.
+    """
 
     def __init__(self, scores: dict[str, float]):
         super().__init__()
-        self.pieces, self.longest = scores, max(map(len, scores), default=1)
-        self._start()
-
-    def _start(self) -> None:
-        self.clear()
-        self.children: dict[tuple[int, str], int] = {}
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
-
-    def __missing__(self, word: str) -> int:
-        if len(self.best) > MAX_NODES:
-            self._start()
-        marked, pieces, best, node = MARK + word, self.pieces, self.best, 0
-        path = [0]
-        for end in range(1, len(marked) + 1):
-            step = (node, marked[end - 1])
-            node = self.children.get(step, -1)
-            if node < 0:
-                last = marked[end - 1]
-                score, fewest = best[path[-1]]
-                size = len(last.encode("utf-8", "surrogatepass"))
-                score, fewest = score + size * BYTE_SCORE, fewest - size
-                for begin in range(max(0, end - self.longest), end):
-                    own = pieces.get(marked[begin:end])
-                    if own is not None:
-                        before, used = best[path[begin]]
-                        if (before + own, used - 1) > (score, fewest):
-                            score, fewest = before + own, used - 1
-                node = len(best)
-                best.append((score, fewest))
-                self.children[step] = node
-            path.append(node)
-        self[word] = count = -best[node][1]
-        return count
+        self.root = piece_trie(scores)
+        self.nodes = 0
+
+    def insert(self, words: set[str]) -> None:
+        root = self.root
+        path = [(0.0, 0, [(0.0, 0, root)])]
+        self._extend(path, MARK)
+        last = ""
+        for word in sorted(words):
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
+                shared += 1
+            del path[shared + 2 :]
+            self._extend(path, word[shared:])
+            self[word] = -path[-1][1]
+            last = word
+
+    def _extend(self, path: list, text: str) -> None:
+        root = self.root
+        score, fewest, going = path[-1]
+        self.nodes += len(text)
+        for ch in text:
+            size = 1 if ch < "\x80" else len(ch.encode("utf-8", "surrogatepass"))
+            score += size * BYTE_SCORE
+            fewest -= size
+            live = []
+            for before, used, place in going:
+                if ch in place:
+                    place = place[ch]
+                    live.append((before, used, place))
+                    if "" in place:
+                        own = place[""] + before
+                        if own > score or own == score and used - 1 > fewest:
+                            score, fewest = own, used - 1
+            live.append((score, fewest, root))
+            going = live
+            path.append((score, fewest, live))
+
+    def count(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of each list of pre-tokens."""
+        if len(self) > MAX_KEPT:
+            self.clear()
+        self.insert({w for words in texts for w in words if w not in self})
+        of = self.__getitem__
+        return [sum(map(of, words)) for words in texts]
 
 
 def count_tokens(documents: DataFrame, model_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -89,14 +117,14 @@ def count_tokens(documents: DataFrame, model_file: str, text: str = "text", key:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PreTokenTrie(scores)
-        of = trie.__getitem__
         for batch in batches:
-            words, tokens = [], []
-            for value in batch.column(1):
-                found = (value.as_py() or "").split()
-                words.append(len(found))
-                tokens.append(sum(map(of, found)))
-            yield arrow_rows(**{key: batch.column(0), "n_pretokens": np.array(words, np.int64), "n_tokens": np.array(tokens, np.int64)})
+            _, offsets = utf8(batch.column(1))
+            for first, last in pieces(offsets):
+                texts = [(value or "").split() for value in batch.column(1)[first:last].to_pylist()]
+                yield arrow_rows(**{
+                    key: batch.column(0)[first:last], "n_pretokens": np.array(list(map(len, texts)), np.int64),
+                    "n_tokens": np.array(trie.count(texts), np.int64),
+                })
 
     rows = documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(counted, f"{key} long, n_pretokens long, n_tokens long")
