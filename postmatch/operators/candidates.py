@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postmatch import fixed_values as V
 from postmatch.functions.audience import with_audience
-from postmatch.functions.context import areas_in_description, course_tails, requires_years
+from postmatch.functions.context import areas_in_description, course_starts, requires_years
 from postmatch.functions.courses import AreaCatalog, plain_fold
 from postmatch.functions.text import fold_text
 from postmatch.operators.keyed import numbered, range_step
@@ -78,11 +78,12 @@ def posting_features(postings: DataFrame, catalog: AreaCatalog) -> DataFrame:
             "title_areas": _matching_areas(title, titles),
             "excluded_areas": _matching_areas(title, exclusions),
             "description_areas": areas_in_description(description, catalog.description_patterns),
-            "tails": course_tails(
-                F.when(description.rlike(rf"\b(?:{V.FORMATION_CONTEXT}|{V.FORMATION_LABEL})"), description)
-            ),
+            "_cited": F.when(description.rlike(rf"\b(?:{V.FORMATION_CONTEXT}|{V.FORMATION_LABEL})"), description),
         }
     )
+    # Where a course may be named: the text once and the word starts, not one piece of text per start.
+    flagged = flagged.withColumn("tails", F.struct(F.col("_cited").alias("text"), course_starts(F.col("_cited")).alias("starts")))
+    flagged = flagged.drop("_cited")
     remote = F.when(F.col("mode").isNotNull(), F.col("mode") == "remoto").otherwise(F.col("remote_text"))
     return flagged.withColumns({"admits_remote": remote, "pass_areas": pass_areas(catalog)})
 
@@ -90,12 +91,14 @@ def posting_features(postings: DataFrame, catalog: AreaCatalog) -> DataFrame:
 def course_mentions(features: DataFrame, courses: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(posting keys, course) where a formation context announces one of the course's names.
 
-    The tails that follow a context are joined to the distinct course names on their first word;
-    the rest of the name is a residual prefix test, so no posting meets every course.
+    What follows a context, as far as the longest name goes, is joined to the distinct course names on
+    its first word; the rest of the name is a residual prefix test, so no posting meets every course.
     """
     names = courses.select("course", F.explode("names").alias("name"))
     names = names.withColumn("_word", F.regexp_extract("name", r"^(\w+)", 1))
-    tails = features.select(*keys, F.explode("tails").alias("_tail")).distinct()
+    longest = names.agg(F.max(F.length("name")).alias("n")).first()["n"] or 0
+    starts = features.select(*keys, F.col("tails.text").alias("_text"), F.explode("tails.starts").alias("_at"))
+    tails = starts.select(*keys, F.substring("_text", F.col("_at") + 1, F.lit(longest + 1)).alias("_tail")).distinct()
     tails = tails.withColumn("_word", F.regexp_extract("_tail", r"^(\w+)", 1))
     whole = F.col("_tail").startswith(F.col("name")) & ~F.substring(
         F.col("_tail"), F.length("name") + 1, F.lit(1)

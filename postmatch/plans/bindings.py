@@ -17,16 +17,10 @@ NOW = "2024-01-31 00:00:00"
 DAYS = 30
 
 
-LONG_TEXTS = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table with wall-clock timestamps read as UTC instants."""
     ensure_utc(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in LONG_TEXTS and len(df.inputFiles()) == 1:
-        # One file is read by few tasks; large tables have many files and keep their own splits.
-        df = df.repartition(spark.sparkContext.defaultParallelism)
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     for column in plain:
         df = df.withColumn(column, F.col(column).cast("timestamp"))

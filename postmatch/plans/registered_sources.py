@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,10 +239,10 @@ def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "title_without_suffix",
-    f"""select doc_id, {M.fold_sql("array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 3), ' ')")} as bare from documents""",
+    f"""select doc_id, {M.fold_sql("trim(regexp_replace(text, '\\s+', ' ', 'g'))")} as bare from documents""",
 )
 def title_without_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 3))
+    title = F.trim(F.regexp_replace("text", r"\s+", " "))
     suffix = B.case(F.col("doc_id") % 3, {0: " - Vaga", 1: " – vaga aberta "}, " - Recrutamento aberto")
     docs = B.table(spark, sf_dir, "documents").withColumn("t", F.concat(title, suffix))
     return docs.select("doc_id", T.strip_aggregator_suffix(T.fold_text(F.col("t"))).alias("bare"))
@@ -301,5 +302,7 @@ def _scratch(spark: SparkSession) -> str:
     """A new folder below the session's shared checkpoint folder, or a local one in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
         return tempfile.mkdtemp(prefix="postmatch-stream-")
-    return os.path.join(shared, "postmatch-stream", spark.sparkContext.applicationId, next(tempfile._get_candidate_names()))
+    return os.path.join(shared, "postmatch-stream", spark.sparkContext.applicationId, uuid.uuid4().hex)

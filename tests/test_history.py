@@ -168,3 +168,33 @@ def test_profile_changes_stream_equals_batch(spark, tmp_path):
         changes.writeStream.format("parquet").option("path", f"{tmp_path}/changes").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["name"], r["profile_id"], r["occurred_at"]) for r in spark.read.parquet(f"{tmp_path}/changes").collect())
     assert got == want
+
+
+def _web(rows):
+    return [(i, s, u, at) for i, s, u, at in rows], "id long, session_id string, user_id string, occurred_at timestamp"
+
+
+def test_late_events_find_their_places_taken(spark):
+    hour = datetime(2026, 9, 1, 10)
+    half = hour + timedelta(minutes=30)
+    known = spark.createDataFrame(*_web([(i, f"k{i}", f"u{i}", half + timedelta(seconds=i)) for i in range(900)]))
+    late = spark.createDataFrame(*_web([(5000, "late", "late", hour + timedelta(minutes=1)), (5001, "late", "late", hour - timedelta(minutes=5))]))
+    got = {r["id"]: r["reason"] for r in limits.limit_site_events(late, known).collect()}
+    assert got == {5000: "hourly_ceiling", 5001: None}
+    same = spark.createDataFrame(*_web([(i, "s", None, half + timedelta(seconds=i)) for i in range(60)]))
+    late = spark.createDataFrame(*_web([(5000, "s", None, hour + timedelta(minutes=1)), (5001, "s", None, half - timedelta(minutes=61))]))
+    got = {r["id"]: r["reason"] for r in limits.limit_site_events(late, same).collect()}
+    assert got == {5000: "session_or_account_limit", 5001: None}
+
+
+def test_replay_with_other_profiles_leaves_nothing_over(spark, tmp_path):
+    people = [(1, "u1", "c", START, None, "chat", True, None, None)]
+    profiles = spark.createDataFrame(people, schemas.ACCOUNT_PROFILE)
+    rows = [(1, N.OPENED, "telegram", None, "u1", 1, 1, "{}", START), (2, "other", "web", "s", None, None, None, "{}", START + timedelta(days=1))]
+    folder, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.createDataFrame(rows, ingest.EVENT_COLUMNS).coalesce(1).write.parquet(folder)
+    for number, known in enumerate((profiles, profiles.limit(0))):  # the same batch 0 again, profiles gone meanwhile
+        ingest.start_ingest(ingest.read_event_files(spark, folder), lambda known=known: known, root, f"{tmp_path}/state{number}").awaitTermination()
+    accepted = {r["id"] for r in spark.read.parquet(f"{root}/accepted").collect()} if any(p.suffix == ".parquet" for p in (tmp_path / "out" / "accepted").rglob("*")) else set()
+    rejected = {r["id"] for r in spark.read.parquet(f"{root}/rejected").collect()}
+    assert 1 not in accepted and rejected == {1, 2}
