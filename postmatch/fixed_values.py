@@ -136,6 +136,12 @@ COURSE_SYNONYMS = {
 COURSE_ABBREVIATIONS = {
     "eng": "engenharia", "adm": "administracao", "cienc": "ciencias", "cien": "ciencias", "c": "ciencias",
 }
+COURSE_LEADING_SIGNS = r"^[^a-z0-9]+"
+COURSE_TRAILING_SIGNS = r"[^a-z0-9]+$"
+COURSE_COMPLEMENT = r"\s*(?:\(|[-–|/,]).*$"
+COURSE_CLOSING_STATE = rf"(?:\s*[-–|:]\s*|\s+)(?:{'|'.join(COURSE_SUFFIXES)})$"
+COURSE_LEVEL_BEFORE = rf"^(?:{'|'.join(COURSE_PREFIXES)})(?: (?:{'|'.join(COURSE_CONNECTORS)}))?\s+"
+COURSE_ABBREVIATED = r"^{}(?:\.\s*|\s+)(?=[a-z])"
 COMPUTING_AREA = "computacao"
 TEACHING_AREA = "educacao"
 TEACHING_DEGREE = "licenciatura"

@@ -20,7 +20,7 @@ EXTRACTION_BATCH = 10
 
 def draw(keys: Sequence[str], seed: int) -> Column:
     """A repeatable draw per row that does not depend on partitioning."""
-    return F.xxhash64(*keys, F.lit(seed))
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
 
 
 def sample_n(df: DataFrame, n: int, seed: int, keys: Sequence[str] = DELIVERY) -> DataFrame:

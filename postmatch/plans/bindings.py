@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def documents_to(docs: DataFrame) -> int:
+    """One more than the largest document id: other keys are folded onto documents by this modulus."""
+    return (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+
+
 def case(column: Column, values: dict, default=None) -> Column:
     out = None
     for key, value in values.items():

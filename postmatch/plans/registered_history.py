@@ -289,13 +289,13 @@ def hold_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # evaluation -----------------------------------------------------------------------------------------
 JUDGED_SQL = """v_judged as (
-  select o.o_orderkey as seq, o.o_custkey::varchar as profile_id, d.source, d.doc_id::varchar as external_id,
+  select o.o_orderkey as seq, o.o_custkey::varchar as profile_id, d.source, o.o_orderkey::varchar as external_id,
     d.lang as course, (o.o_totalprice::bigint % 101)::int as score, l.quality = 1 as relevant,
     case when l.doc_id is not null then (d.n_chars % 101)::int end as judge_score,
     case when l.doc_id is not null and l.toxic = 1 then (['area', 'nivel', 'local'])[(l.doc_id % 3) + 1] end as problem,
     case o.o_orderstatus when 'F' then 'vaga_util' when 'O' then 'vaga_irrelevante' end as feedback,
     case when o.o_orderstatus = 'O' then case o.o_orderpriority when '1-URGENT' then 'motivo_encerrada' when '2-HIGH' then 'motivo_area' end end as feedback_reason
-  from orders o join documents d on d.doc_id = o.o_orderkey left join labels l on l.doc_id = d.doc_id)""".replace(
+  from orders o join documents d on d.doc_id = o.o_orderkey % (select max(doc_id) + 1 from documents) left join labels l on l.doc_id = d.doc_id)""".replace(
     "o.o_totalprice::bigint", "floor(o.o_totalprice)::bigint"
 )
 
@@ -303,12 +303,13 @@ JUDGED_SQL = """v_judged as (
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority")
     docs = B.table(spark, sf_dir, "documents")
-    orders = B.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "doc_id")
+    orders = B.table(spark, sf_dir, "orders").withColumn("doc_id", F.col("o_orderkey") % B.documents_to(docs))
     deliveries = orders.join(docs, "doc_id").select(
-        F.col("doc_id").alias("seq"),
+        F.col("o_orderkey").alias("seq"),
+        "doc_id",
         F.col("o_custkey").cast("string").alias("profile_id"),
         "source",
-        F.col("doc_id").cast("string").alias("external_id"),
+        F.col("o_orderkey").cast("string").alias("external_id"),
         F.col("lang").alias("course"),
         (F.floor("o_totalprice") % 101).cast("int").alias("score"),
         (F.col("n_chars") % 101).cast("int").alias("_n"),
@@ -316,16 +317,16 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "O", B.case(urgent, {"1-URGENT": N.REASON_CLOSED, "2-HIGH": N.REASON_AREA})).alias("feedback_reason"),
     )
     labels = B.table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("seq"), "quality", "toxic", B.case(F.col("doc_id") % 3, {0: "area", 1: "nivel", 2: "local"}).alias("_p")
+        "doc_id", "quality", "toxic", B.case(F.col("doc_id") % 3, {0: "area", 1: "nivel", 2: "local"}).alias("_p")
     )
-    answers = deliveries.join(labels, "seq").select(
+    answers = deliveries.join(labels, "doc_id").select(
         *E.DELIVERY,
         F.col("seq"),
         (F.col("quality") == 1).alias("relevant"),
         F.col("_n").alias("judge_score"),
         F.when(F.col("toxic") == 1, F.col("_p")).alias("problem"),
     )
-    return E.judged_deliveries(deliveries.drop("_n"), answers)
+    return E.judged_deliveries(deliveries.drop("_n", "doc_id"), answers)
 
 
 @register(
@@ -412,12 +413,24 @@ def label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.label_sheet(rows).drop("title", "location", "url")
 
 
-@register("seeded_sample")
+DRAW_SQL = "md5(concat_ws('|', profile_id, source, external_id, '7'))"
+
+
+@register(
+    "seeded_sample",
+    f"""with {JUDGED_SQL} select profile_id, source, external_id from v_judged
+order by {DRAW_SQL}, profile_id, source, external_id limit 50""",
+)
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sample_n(_judged(spark, sf_dir), 50, 7).select(*E.DELIVERY)
 
 
-@register("stratified_sample")
+@register(
+    "stratified_sample",
+    f"""with {JUDGED_SQL}, t as (select profile_id, source, external_id, coalesce(problem, '-') as stratum,
+  row_number() over (partition by coalesce(problem, '-') order by {DRAW_SQL}, profile_id, source, external_id) as turn from v_judged)
+select profile_id, source, external_id, stratum from t order by turn, stratum limit 40""",
+)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = _judged(spark, sf_dir).withColumn("stratum", F.coalesce("problem", F.lit("-")))
     return E.stratified_sample(judged, 40, 7, "stratum", list(E.DELIVERY)).select(*E.DELIVERY, "stratum")
@@ -426,10 +439,10 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # writes ---------------------------------------------------------------------------------------------
 @register(
     "upsert_winner",
-    """with cur as (select source, doc_id % 800 as external_id, repeat('x', (n_chars % 50)::int) as description, case when doc_id % 4 = 0 then 'remoto' end as mode
-  from documents where doc_id < (select count(*) * 0.8 from documents) qualify row_number() over (partition by source, doc_id % 800 order by doc_id) = 1),
-new as (select source, doc_id % 800 as external_id, repeat('x', (n_chars % 37)::int) as description, case when doc_id % 3 = 0 then 'presencial' end as mode
-  from documents where doc_id >= (select count(*) * 0.4 from documents) qualify row_number() over (partition by source, doc_id % 800 order by doc_id) = 1)
+    """with cur as (select source, doc_id % (select count(*) // 2 + 1 from documents) as external_id, text as description, case when doc_id % 4 = 0 then 'remoto' end as mode
+  from documents where doc_id < (select count(*) * 0.8 from documents) qualify row_number() over (partition by source, doc_id % (select count(*) // 2 + 1 from documents) order by doc_id) = 1),
+new as (select source, doc_id % (select count(*) // 2 + 1 from documents) as external_id, text as description, case when doc_id % 3 = 0 then 'presencial' end as mode
+  from documents where doc_id >= (select count(*) * 0.4 from documents) qualify row_number() over (partition by source, doc_id % (select count(*) // 2 + 1 from documents) order by doc_id) = 1)
 select source, external_id, length(case when c.description is null then n.description when n.description is null then c.description
   when length(n.description) > length(c.description) then n.description else c.description end)::int as n,
   case when c.description is null then n.mode else coalesce(n.mode, c.mode) end as mode
@@ -440,20 +453,20 @@ def upsert_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = docs.count()
     doc = F.col("doc_id")
 
-    def rows(part: DataFrame, longest: int, every: int, mode: str) -> DataFrame:
+    def rows(part: DataFrame, every: int, mode: str) -> DataFrame:
         from postmatch.operators.keyed import first_per_key
 
         named = part.select(
             "source",
-            (doc % 800).alias("external_id"),
-            F.expr(f"repeat('x', cast(n_chars % {longest} as int))").alias("description"),
+            (doc % (size // 2 + 1)).alias("external_id"),
+            F.col("text").alias("description"),
             F.when(doc % every == 0, mode).alias("mode"),
             "doc_id",
         )
         return first_per_key(named, ["source", "external_id"], [doc]).drop("doc_id")
 
-    current = rows(docs.filter(doc < size * 0.8), 50, 4, "remoto")
-    new = rows(docs.filter(doc >= size * 0.4), 37, 3, "presencial")
+    current = rows(docs.filter(doc < size * 0.8), 4, "remoto")
+    new = rows(docs.filter(doc >= size * 0.4), 3, "presencial")
     return WR.upsert_postings(current, new).select("source", "external_id", F.length("description").alias("n"), "mode")
 
 

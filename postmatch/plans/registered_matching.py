@@ -31,12 +31,12 @@ def posting_scan_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "first_wins_source",
-    """select source, external_id, seq from (select source, n_chars % 40 as external_id, doc_id as seq from documents)
+    """select source, external_id, seq from (select source, md5(text) as external_id, doc_id as seq from documents)
 qualify row_number() over (partition by source, external_id order by seq) = 1""",
 )
 def first_wins_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.table(spark, sf_dir, "documents").select(
-        "source", (F.col("n_chars") % 40).alias("external_id"), F.col("doc_id").alias("seq")
+        "source", F.md5(F.col("text").cast("binary")).alias("external_id"), F.col("doc_id").alias("seq")
     )
     return dedup.first_wins(rows)
 
@@ -209,11 +209,12 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "unsent_candidates",
     f"""with {CANDIDATES_SQL} select profile_id, seq from v_candidates c where not exists (
-  select 1 from orders o where o.o_custkey = c.profile_id and o.o_orderkey % 1000 = c.seq)""",
+  select 1 from orders o where o.o_custkey = c.profile_id and o.o_orderkey % (select max(doc_id) + 1 from documents) = c.seq)""",
 )
 def unsent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = B.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("profile_id"), (F.col("o_orderkey") % 1000).alias("seq")
+        F.col("o_custkey").alias("profile_id"),
+        (F.col("o_orderkey") % B.documents_to(B.table(spark, sf_dir, "documents"))).alias("seq"),
     )
     return C.without_sent(_candidates(spark, sf_dir), sent, ["profile_id", "seq"]).select("profile_id", "seq")
 

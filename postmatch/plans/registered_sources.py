@@ -192,14 +192,15 @@ def pages_without_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "lost_unread_page",
-    """select distinct o_custkey as profile_id from orders o join documents d on d.doc_id = o.o_orderkey
+    """select distinct o_custkey as profile_id from orders o join documents d on d.doc_id = o.o_orderkey % (select max(doc_id) + 1 from documents)
 where d.doc_id % 2 = 0 and not exists (select 1 from pages p where p.page_id * 2 = d.doc_id)""",
 )
 def lost_unread_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings, parsed = _paged(spark, sf_dir)
     unread = P.enrich_from_pages(postings, parsed).filter("page_unread")
     pairs = B.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").cast("string").alias("external_id")
+        F.col("o_custkey").alias("profile_id"),
+        (F.col("o_orderkey") % B.documents_to(B.table(spark, sf_dir, "documents"))).cast("string").alias("external_id"),
     )
     return O.lost_unread_page(pairs, unread, ["external_id"])
 
