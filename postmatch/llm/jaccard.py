@@ -37,7 +37,7 @@ SHINGLE = 5
 #: Links from 3/4 on: intersection >= 3/7 of the sum of sizes.
 FREQUENT_PER_PIECE = 3
 #: Bound of the broadcast list of frequent shingles; it only sets the order, so any list gives the same links.
-MAX_FREQUENT = 100_000
+MAX_FREQUENT = 500_000
 BLOCK_ROWS = 64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FOLD = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
@@ -172,9 +172,11 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, place: np.ndarray, names:
 
 
 def _possible(nx, ix, ny, iy):
-    """May sets of these sizes link that share the shingle at these positions of their orders?"""
-    most = F.least(ix, iy) + F.least(nx - ix, ny - iy)
-    return (4 * F.least(nx, ny) >= 3 * F.greatest(nx, ny)) & (7 * most >= 3 * (nx + ny))
+    """May sets of these sizes link whose first common shingle has these positions in their orders?
+
+    Every linking pair passes in the list of its first common shingle, which is in both prefixes.
+    """
+    return (4 * F.least(nx, ny) >= 3 * F.greatest(nx, ny)) & (7 * F.least(nx - ix, ny - iy) >= 3 * (nx + ny))
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,25 +271,27 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     place_block = F.floor(F.log2(F.col("i") + 1.0)).cast("int")
     salt = F.pmod(F.xxhash64("f"), F.ceil(F.col("c") / BLOCK_ROWS))
     blocks = stored(member.groupBy("tok", place_block.alias("at"), salt.alias("salt")).agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("i").alias("i_max"), F.max(F.col("n") - F.col("i")).alias("rest"),
+        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("i")).alias("rest"),
         F.min("root").alias("root_min"), F.max("root").alias("root_max"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.sort_array(F.collect_list(F.struct("f", "n", "i", "root", "low", "high"))).alias("rows"),
     ))
     left = blocks.select("tok", *[F.col(c).alias(f"l_{c}") for c in blocks.columns if c != "tok"])
-    most = F.least("l_i_max", "i_max") + F.least("l_rest", "rest")
-    pairs = left.join(blocks, "tok").filter(
+    block_pairs = left.join(blocks, "tok").filter(
         (F.struct("l_at", "l_salt") <= F.struct("at", "salt"))
         & (4 * F.col("l_n_max") >= 3 * F.col("n_min")) & (4 * F.col("n_max") >= 3 * F.col("l_n_min"))
-        & (7 * most >= 3 * (F.col("l_n_min") + F.col("n_min")))
+        & (7 * F.least("l_rest", "rest") >= 3 * (F.col("l_n_min") + F.col("n_min")))
         & ~((F.col("l_root_min") == F.col("root_max")) & (F.col("l_root_max") == F.col("root_min")))
     )
-    pairs = pairs.select(F.explode("l_rows").alias("p"), "rows").select("p", F.explode("rows").alias("q"))
-    derived = F.greatest(F.col("p.low") - F.col("q.high"), F.col("q.low") - F.col("p.high"))
-    pairs = pairs.filter(
-        (F.col("p.root") != F.col("q.root")) & _possible(F.col("p.n"), F.col("p.i"), F.col("q.n"), F.col("q.i"))
-        & (derived <= 0.25 + 1e-9)
-    )
-    other = pairs.select(F.least("p.f", "q.f").alias("x"), F.greatest("p.f", "q.f").alias("y")).distinct()
+
+    def open_pair(p, q):
+        derived = F.greatest(p["low"] - q["high"], q["low"] - p["high"])
+        return (p["root"] != q["root"]) & _possible(p["n"], p["i"], q["n"], q["i"]) & (derived <= 0.25 + 1e-9)
+
+    def named(p, q):
+        return F.struct(F.least(p["f"], q["f"]).alias("x"), F.greatest(p["f"], q["f"]).alias("y"))
+
+    met_in = F.transform("l_rows", lambda p: F.transform(F.filter("rows", lambda q: open_pair(p, q)), lambda q: named(p, q)))
+    other = block_pairs.select(F.explode_outer(F.flatten(met_in)).alias("e")).select("e.*").filter(F.col("x").isNotNull()).distinct()
     last = stored(_bounded(other, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y"))
     more = stored(_verified(last, texts, classes))
     return rows, classes, links.unionByName(more)
@@ -319,10 +323,11 @@ def one_per_component(documents: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("t").alias("_t"))
     first = rows.join(own.select("f", "root"), "f").groupBy("root").agg(F.min(order).alias("o"))
     kept = first.select("o._k", "o._t").union(rows.filter(F.col("f").isNull()).select(F.coalesce("doc_id", F.lit(-1)), "t")).distinct()
-    names = documents.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"), F.xxhash64(text).alias("_t"))
+    keyed = documents.select(
+        F.struct(*documents.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"),
+        F.xxhash64(text).alias("_t"), (~text.rlike(r"[^\x20\x09-\x0D]")).alias("_blank"),
+    )
     again = F.row_number().over(W.partitionBy("_k", "_t").orderBy(F.lit(0)))
     found = keyed.join(kept, ["_k", "_t"], "left_semi").withColumn("_n", again)
-    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return found.filter((F.col("_n") == 1) | blank).select(*names)
+    return found.filter((F.col("_n") == 1) | F.col("_blank")).select("_row.*")
