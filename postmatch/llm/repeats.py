@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,13 +281,14 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
     return whole.unionByName(inside).unionByName(across)
 
 
-def _joined_spans(documents: DataFrame, extra: list[str], **options) -> DataFrame:
+def _joined_spans(documents: DataFrame, **options) -> DataFrame:
+    """(_row, _bytes, _spans) of every row: its columns as a struct, its text and the spans to remove."""
     spans = stored(repeated_spans(documents, **options))
     lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("begin", "until")).alias("_spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"), F.xxhash64(text).alias("_t"), text.alias("_bytes")]
-    rows = documents.select(*[F.col(c) for c in extra], *keys)
-    return rows.join(lists.withColumnRenamed("doc_id", "_k").withColumnRenamed("t", "_t"), ["_k", "_t"], "left").drop("_k", "_t")
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), *keys)
+    return rows.join(lists.withColumnRenamed("doc_id", "_k").withColumnRenamed("t", "_t"), ["_k", "_t"], "left").select("_row", "_bytes", "_spans")
 
 
 def _kept(value: bytes, spans) -> tuple[bytes, int]:
@@ -325,11 +326,11 @@ def repeat_report(documents: DataFrame, **options) -> DataFrame:
                 runs.append(n)
                 digest.append(hashlib.sha256(kept).hexdigest())
             yield arrow_rows(
-                doc_id=batch.column("doc_id"), n_bytes=np.array(size, np.int64), n_removed=np.array(removed, np.int64),
+                doc_id=batch.column("_row").field("doc_id"), n_bytes=np.array(size, np.int64), n_removed=np.array(removed, np.int64),
                 n_spans=np.array(runs, np.int64), kept_sha256=pa.array(digest, pa.string()),
             )
 
-    rows = _joined_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], **options)
+    rows = _joined_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
     return rows.mapInArrow(told, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -345,8 +346,9 @@ def without_repeats(documents: DataFrame, **options) -> DataFrame:
             texts = []
             for value, spans in zip(batch.column("_bytes").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 texts.append(_kept(value.encode(), spans)[0].decode("utf-8", "ignore") if spans else value)
-            new = pa.array(texts, pa.string())
-            new = pa.compute.if_else(batch.column("text").is_null(), pa.scalar(None, pa.string()), new)
-            yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in names], names)
+            columns = batch.column("_row").flatten()
+            at = names.index("text")
+            columns[at] = pc.if_else(columns[at].is_null(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _joined_spans(documents, names, **options).mapInArrow(replaced, schema)
+    return _joined_spans(documents, **options).mapInArrow(replaced, schema)

@@ -50,7 +50,7 @@ def test_null_and_repeated_ids_and_kept_columns(documents):
     df = documents([(None, long), (7, long), (7, "short"), (7, long + "end"), (None, None)], clash=True)
     kept = repeats.without_repeats(df)
     assert kept.columns == df.columns
-    assert sorted((r["text"] or "~") for r in kept.collect()) == ["", "", "end", "short", "~"]
+    assert sorted("~" if r["text"] is None else r["text"] for r in kept.collect()) == ["", "", "end", "short", "~"]
 
 
 def test_empty_table(documents, spark):
