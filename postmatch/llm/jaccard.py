@@ -242,7 +242,8 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = stored(rows.filter(F.col("f").isNotNull()).groupBy("f").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("_doc"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     frequent, place = _frequent(texts)
     shared = _prefixes(texts, frequent, place, False).groupBy("tok").agg(F.sum("c").alias("c")).filter(F.col("c") > 1)
-    lists = stored(_prefixes(texts, frequent, place, True).join(shared.select("tok"), "tok", "left_semi").distinct())
+    shared = stored(shared.select("tok"))  # a table, so that Spark can split a hot shingle's rows in the join
+    lists = stored(_prefixes(texts, frequent, place, True).join(shared, "tok", "left_semi").distinct())
 
     pivots = stored(lists.groupBy("tok").agg(F.min(F.struct("f", "n", "i")).alias("p"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1))
     met = lists.join(pivots, "tok").filter(

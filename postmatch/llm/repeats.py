@@ -236,14 +236,15 @@ def _merge(table: pa.Table) -> pa.Table:
 def repeated_spans(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """SPANS of the bytes to remove; spans of a text may overlap."""
     rows = _keyed(documents)
-    repeated = _anchor_counts(rows, length, anchor)
+    # Counts are tables before they are joined: then Spark can split a hot anchor's rows in the join.
+    repeated = stored(_anchor_counts(rows, length, anchor))
     segments = stored(_segments(rows, length, anchor).join(repeated, "a", "left_semi"))
     first = F.min(F.struct("doc_id", "t", "low", "high")).alias("at")
     kinds = stored(segments.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), first))
     copied = segments.join(kinds.filter(F.col("n") > 1).select("a", "s"), ["a", "s"], "left_semi")
     whole = copied.select("doc_id", "t", F.col("low").alias("begin"), (F.col("high") + length).alias("until"))
 
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > 1)
+    several = stored(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > 1))
     compared = stored(kinds.join(several, "a").select("a", "s", "n", "kinds", "at.*"))
     size = compared.select(F.sum(F.col("high") - F.col("low") + length).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(size / shard_bytes))
