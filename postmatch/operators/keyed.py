@@ -54,20 +54,17 @@ def range_step(order: Column, rows: int = 1_000_000) -> Column:
     return F.floor(order / F.lit(rows))
 
 
-def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median", direct: int = 200_000) -> DataFrame:
+def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median") -> DataFrame:
     """Exact continuous median of a whole-number column, per key.
 
-    Values are counted once (value, count). Up to `direct` distinct pairs go to Spark's percentile
-    with frequencies, whose buffer is then bounded; beyond that, three passes over the counts
-    (value >> 40, value >> 20, value) locate the middle ranks, each aggregated map-side, so no task
-    ever holds the values themselves. Null values are ignored, keys must not be null, and a key
-    without values gives no row.
+    Values are counted once (value, count); three passes over the counts (value >> 40, value >> 20,
+    value) locate the middle ranks, each aggregated map-side, so no task ever holds the values
+    themselves. Null values are ignored, keys must not be null, and a key without values gives no row;
+    without keys there is always one row.
     """
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_v"))
     counts = cut_lineage(present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    if counts.count() <= direct:
-        return counts.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5), F.col("_c")).alias(name))
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     middle = F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
     targets = total.select(*keys, F.explode(middle).alias("_rank"), F.lit(0).cast("long").alias("_prefix"))
