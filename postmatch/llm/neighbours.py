@@ -2,7 +2,7 @@
 
 Vectors are lengthened by one component so that all have the same norm; then the nearest by distance are
 the largest by inner product. All are turned by one random rotation and assigned to the nearest of the
-centroids (an inverted file). A query scans its `PROBES` nearest lists. Within a list the rotated
+centroids (an inverted file). A query scans the nearest lists, a share of `PROBES` of them. Within a list the rotated
 components are read in blocks: after d of D components, a candidate whose partial distance exceeds
 (1 + EPSILON / sqrt(d))^2 d / D of the current k-th distance is abandoned, as the hypothesis that it is
 nearer is rejected. Survivors are scored exactly, in double precision, on the original vectors.
@@ -31,11 +31,13 @@ from postmatch.llm.common import arrow_rows, stored
 from postmatch.operators.keyed import top_per_key
 
 K = 20
-LIST_ROWS = 512
+LIST_ROWS = 2048
 MAX_LISTS = 4096
 SAMPLE = 40_000
-PROBES = 24
-CHUNK = 2048
+#: Share of the lists that a query scans. Measured on vectors with little structure: recall 0.97 at 0.75, 0.9 at 0.6.
+PROBES = 0.75
+CHUNK = 4096
+FIRST_TILE, TILE = 64, 1024
 QUERIES = 1024
 BLOCK = 16
 EPSILON = 2.1
@@ -107,20 +109,22 @@ def scan_list(index: Index, ids: np.ndarray, v: np.ndarray, query_ids: np.ndarra
     blocks = [np.ascontiguousarray(turned[:, d : d + BLOCK]) for d in range(0, size, BLOCK)]
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True) * index.norm
     asked = index.turned(unit, query=True)
+    edges = [0, *range(min(FIRST_TILE, len(ids)), len(ids), TILE), len(ids)]
+    tiles = list(zip(edges, edges[1:], strict=False))
     out = []
     for number, (query_id, q) in enumerate(zip(query_ids.tolist(), asked, strict=True)):
         held_ids, held_score, held_far = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         limit = np.inf
-        for at in range(0, len(ids), 256):
-            rows = np.arange(at, min(at + 256, len(ids)))
-            rows = rows[ids[rows] != query_id]
-            partial = np.zeros(len(rows))
+        for at, until in tiles:
+            rows, partial = np.arange(at, until), np.zeros(until - at)
             for b, block in enumerate(blocks):
-                gap = block[rows] - q[b * BLOCK : b * BLOCK + block.shape[1]]
-                partial = partial + (gap * gap).sum(axis=1)
+                gap = (block[rows] if b else block[at:until]) - q[b * BLOCK : b * BLOCK + block.shape[1]]
+                partial = partial + np.einsum("ij,ij->i", gap, gap)
+                if b == 0:
+                    partial[ids[at:until] == query_id] = np.inf
                 done = min((b + 1) * BLOCK, size)
                 bound = limit * (1 if done == size else min(1, (1 + EPSILON / math.sqrt(done)) ** 2 * done / size))
-                near = partial <= bound * (1 + 1e-9)
+                near = np.flatnonzero(partial <= min(bound * (1 + 1e-9), np.finfo(float).max))
                 rows, partial = rows[near], partial[near]
                 if not len(rows):
                     break
@@ -136,7 +140,7 @@ def scan_list(index: Index, ids: np.ndarray, v: np.ndarray, query_ids: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, probes: int = PROBES, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, probes: float = PROBES, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score); `is_query` is a condition on vec_id."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -146,7 +150,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, probes: int = PROBES, key:
     rows = stored(rows)
     total = rows.count()
     lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS)))
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(min(SAMPLE, 64 * lists)).select("v").toPandas()
+    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(min(SAMPLE, 1000 * lists)).select("v").toPandas()
     index = Index(size, norm, np.array(sample["v"].tolist(), float), lists)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +159,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, probes: int = PROBES, key:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = index.probed(matrix(batch.column("v")), probes)
+            found = index.probed(matrix(batch.column("v")), math.ceil(probes * lists))
             row = np.repeat(np.arange(len(found)), found.shape[1])
             yield arrow_rows(query_id=batch.column("vec_id").take(pa.array(row)), q=batch.column("v").take(pa.array(row)), list=found.ravel().astype(np.int32))
 
