@@ -39,7 +39,7 @@ PROBES = 0.75
 CHUNK = 4096
 FIRST_TILE, TILE = 64, 1024
 QUERIES = 1024
-BLOCK = 16
+BLOCK = 16  # columns
 EPSILON = 2.1
 SEED = 3
 
@@ -106,37 +106,39 @@ def scan_list(index: Index, ids: np.ndarray, v: np.ndarray, query_ids: np.ndarra
     ids, v = ids[order], v[order]
     turned = index.turned(v)
     size = turned.shape[1]
-    blocks = [np.ascontiguousarray(turned[:, d : d + BLOCK]) for d in range(0, size, BLOCK)]
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True) * index.norm
     asked = index.turned(unit, query=True)
+    parts = [slice(d, min(d + BLOCK, size)) for d in range(0, size, BLOCK)]
+    blocks = [np.ascontiguousarray(turned[:, part]) for part in parts]
+    norms = [np.einsum("ij,ij->i", block, block) for block in blocks]
+    slack = 1e-9 * index.norm**2
+    held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for _ in range(len(asked))]
     edges = [0, *range(min(FIRST_TILE, len(ids)), len(ids), TILE), len(ids)]
-    tiles = list(zip(edges, edges[1:], strict=False))
-    out = []
-    for number, (query_id, q) in enumerate(zip(query_ids.tolist(), asked, strict=True)):
-        held_ids, held_score, held_far = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        limit = np.inf
-        for at, until in tiles:
-            rows, partial = np.arange(at, until), np.zeros(until - at)
-            for b, block in enumerate(blocks):
-                gap = (block[rows] if b else block[at:until]) - q[b * BLOCK : b * BLOCK + block.shape[1]]
-                partial = partial + np.einsum("ij,ij->i", gap, gap)
-                if b == 0:
-                    partial[ids[at:until] == query_id] = np.inf
-                done = min((b + 1) * BLOCK, size)
-                bound = limit * (1 if done == size else min(1, (1 + EPSILON / math.sqrt(done)) ** 2 * done / size))
-                near = np.flatnonzero(partial <= min(bound * (1 + 1e-9), np.finfo(float).max))
+    for at, until in zip(edges, edges[1:], strict=False):
+        # Distances over the first block for all queries at once; the others only for who is left.
+        head = asked[:, parts[0]]
+        near_zero = (head * head).sum(axis=1)[:, None] + norms[0][at:until] - 2 * (head @ blocks[0][at:until].T)
+        for number, q in enumerate(asked):
+            own_ids, own_score, own_far = held[number]
+            limit = own_far.max() if len(own_ids) == k else np.inf
+            partial = near_zero[number]
+            partial[ids[at:until] == query_ids[number]] = np.inf
+            rows = np.arange(at, until)
+            for b, part in enumerate(parts):
+                if b:
+                    along = q[part]
+                    partial = partial + (along @ along + norms[b][rows] - 2 * (blocks[b][rows] @ along))
+                share = 1 if part.stop == size else min(1, (1 + EPSILON / math.sqrt(part.stop)) ** 2 * part.stop / size)
+                near = np.flatnonzero(partial <= min(limit * share + slack, np.finfo(float).max))
                 rows, partial = rows[near], partial[near]
                 if not len(rows):
                     break
             if len(rows):
                 score = (v[rows] * queries[number]).sum(axis=1)
-                held_ids, held_score = np.append(held_ids, ids[rows]), np.append(held_score, score)
-                held_far = np.append(held_far, partial)
-                best = np.lexsort((held_ids, -held_score))[:k]
-                held_ids, held_score, held_far = held_ids[best], held_score[best], held_far[best]
-                if len(held_ids) == k:
-                    limit = held_far.max()
-        out.append((np.full(len(held_ids), query_id, np.int64), held_ids, held_score))
+                all_ids, all_score = np.append(own_ids, ids[rows]), np.append(own_score, score)
+                best = np.lexsort((all_ids, -all_score))[:k]
+                held[number] = all_ids[best], all_score[best], np.append(own_far, partial)[best]
+    out = [(np.full(len(h[0]), query_id, np.int64), h[0], h[1]) for query_id, h in zip(query_ids.tolist(), held, strict=True)]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
