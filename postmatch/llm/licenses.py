@@ -60,7 +60,11 @@ def _window_starts(count: Column, width: int, stride: int) -> Column:
 
 def _bands(hashes: Column, bands: int) -> Column:
     """The smallest value of each of `bands` hash functions over the shingles of a window."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(bands)])
+
+    def seeded(band: int):
+        return lambda h: F.xxhash64(h, F.lit(band))
+
+    return F.array(*[F.array_min(F.transform(hashes, seeded(band))) for band in range(bands)])
 
 
 def _shingles(words: Column, n: int = SHINGLE) -> Column:

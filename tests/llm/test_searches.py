@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_licenses_in_odd_texts(documents, spark):
     notices = [text for _, text in licenses.NOTICES]
     texts = [
-        notices[0], "some words, " + notices[1].upper() + " more words", None, "", "released under the", notices[3] * 2,
+        notices[0], "some words, " + notices[1].upper() + " more words", None, "", "released under the", " ".join(notices[3:] * 2),
         "\n".join(["filler words in here"] * 200 + notices), notices[2].replace(" ", "\n\t "), "(Licensed under CC BY-NC 4.0)", "---",
     ]
     rows = licenses.scan(documents(texts, clash=True), licenses.notice_templates(spark)).collect()
