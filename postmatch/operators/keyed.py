@@ -81,6 +81,7 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
             (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c"))
         )
         rank_inside = F.col("_rank") - (F.col("_upto") - F.col("_c"))
-        targets = hit.select(*keys, rank_inside.alias("_rank"), F.col("_cell").alias("_prefix"))
+        # At most two rows per key; each pass reads them twice.
+        targets = cut_lineage(hit.select(*keys, rank_inside.alias("_rank"), F.col("_cell").alias("_prefix")))
         shift_before = shift
     return targets.groupBy(*keys).agg(F.avg(F.col("_prefix").cast("double")).alias(name))
