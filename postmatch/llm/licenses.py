@@ -1,15 +1,15 @@
 """License scans with DataFrame functions only.
 
-Texts are cut into overlapping windows of words. A window and a template meet when one of `BANDS` MinHash
-bands (one row each) agrees between the window and one of the template's own windows; then the share of
-the template's distinct shingles that the text contains is counted exactly. With b one-row bands, two
-windows of Jaccard similarity s meet with probability 1 - (1 - s)^b: with 64 bands over 99.99 % where a
-template of five words stands in a window of eight (s = 1/4), more for longer templates.
+Templates are license texts, standard headers and short notices. The share of a template's distinct
+shingles of words that a text contains is counted exactly: the shingles of all texts are joined to the
+shingles of all templates as a table, of any size; only hits are shuffled.
 
 Defined cases: null and empty texts give no row; words are runs of anything but ASCII white space, ASCII
 letters lower-cased, signs at either end of a word dropped; a template with fewer words than a shingle is
 one shingle of all its words; templates without words are ignored; repeated template rows count once;
-repeated document rows each give their rows.
+of several templates of a license the one held most counts; repeated document rows each give their rows.
+Licenses that share most of their words (GPL headers of two versions, BSD with two and three clauses) each
+give a row; a five-word notice with another word is often another license's, so it is no near copy.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-WINDOW = 8
-STRIDE = 4
-BANDS = 64
 LEAST = 0.75
-MAX_SHINGLES = 2000
+#: Bytes of templates up to which their shingles are sent to every task; with more, Spark chooses the join.
+BROADCAST_BYTES = 4 << 20
 
 # The notices that the licenses themselves tell authors to use.
 NOTICES = (
@@ -45,67 +43,40 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(bare, " +"), lambda w: w != "")
 
 
-def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
-    """Hash of every n-word shingle in text order; of the whole sequence where it is shorter."""
-    size = F.size(words)
-    parts = [lambda i, k=k: F.get(words, i + F.lit(k)) for k in range(n)]
-    many = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[p(i) for p in parts]))
-    whole = F.array(F.xxhash64(*[F.get(words, F.lit(k)) for k in range(n)]))
-    return F.when(size >= n, many).when(size > 0, whole).otherwise(F.array().cast("array<bigint>"))
-
-
-def _window_starts(count: Column, width: int, stride: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), count - width), F.lit(stride))
-
-
-def _bands(hashes: Column, bands: int) -> Column:
-    """The smallest value of each of `bands` hash functions over the shingles of a window."""
-
-    def seeded(band: int):
-        return lambda h: F.xxhash64(h, F.lit(band))
-
-    return F.array(*[F.array_min(F.transform(hashes, seeded(band))) for band in range(bands)])
-
-
 def _shingles(words: Column, n: int = SHINGLE) -> Column:
-    """The n-word shingles themselves; the whole sequence where it is shorter."""
+    """The n-word shingles in text order; the whole sequence where it is shorter."""
     size = F.size(words)
     many = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(size >= n, many).otherwise(F.array(F.array_join(words, " ")))
+    return F.when(size >= n, many).when(size > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(documents: DataFrame, templates: DataFrame, least: float = LEAST, bands: int = BANDS, key: str = "doc_id") -> DataFrame:
-    """(key, license_id, containment, first_word): templates of which a text holds `least` or more.
+def scan(documents: DataFrame, templates: DataFrame, least: float = LEAST, key: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, license_id, containment, first_word): licenses with a template of which a text holds `least` or more.
 
-    `first_word` is where the first window that met the template begins. Templates are a parameter; they
-    may hold up to `MAX_SHINGLES` shingles in one call (checked), so that their bands can be broadcast;
-    more are scanned in blocks. A window can agree with a template window in a band only if both hold the
-    same smallest shingle, so windows without any template shingle skip the band computation.
+    `first_word` is where the first shingle shared with that template begins. No set of templates is too
+    large: up to `broadcast_bytes` their shingles are broadcast, beyond that Spark chooses the join.
     """
-    width = WINDOW - SHINGLE + 1
     whole = templates.select("license_id", words_of(F.col("text").cast("string")).alias("_w")).filter(F.size("_w") > 0).distinct()
-    hashed = whole.select("license_id", F.array_distinct(_shingles(F.col("_w"))).alias("wanted"), shingle_hashes(F.col("_w")).alias("_h"))
-    found = hashed.select(F.explode("_h").alias("h")).distinct().limit(MAX_SHINGLES + 1).collect()
-    if len(found) > MAX_SHINGLES:
-        raise ValueError(f"templates of more than {MAX_SHINGLES} shingles: scan them in blocks")
-    known = F.array(*[F.lit(r["h"]) for r in found]).cast("array<bigint>")
-    own = F.transform(_window_starts(F.size("_h"), width, 1), lambda p: F.slice(F.col("_h"), p + 1, width))
-    index = hashed.select("license_id", "wanted", F.explode(own).alias("_own"))
-    index = index.select("license_id", "wanted", F.posexplode(_bands(F.col("_own"), bands)).alias("band", "value")).distinct()
-
-    # The row number keeps Spark from moving the filters below the projection, where the word and shingle
-    # lists would be computed again for every element.
-    texts = documents.select(F.col(key).alias(key), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_w"))
-    rows = texts.select(key, "_w", shingle_hashes(F.col("_w")).alias("_h"), F.monotonically_increasing_id().alias("_row"))
-    near = rows.filter(F.arrays_overlap("_h", known))
-    starts = _window_starts(F.size("_h") + STRIDE - 1, width, STRIDE)
-    kept = F.filter(starts, lambda p: F.arrays_overlap(F.slice(F.col("_h"), p + 1, width), known))
-    windows = near.select(key, "_row", "_w", "_h", F.explode(kept).alias("_p"))
-    cut = F.slice(F.col("_h"), F.col("_p") + 1, width)
-    banded = windows.select(key, "_row", "_w", "_p", F.posexplode(_bands(cut, bands)).alias("band", "value"))
-    met = banded.join(F.broadcast(index), ["band", "value"])
-    pairs = met.groupBy(key, "_row", "license_id").agg(
-        F.min("_p").alias("first_word"), F.first("_w").alias("_w"), F.first("wanted").alias("wanted")
+    # Row numbers keep Spark from moving filters below, where texts would be split again for every shingle;
+    # this one changes no value, the one of the texts also keeps repeated rows apart.
+    digest = F.when(F.monotonically_increasing_id() >= 0, F.sha2(F.array_join("_w", " "), 256))
+    wanted = whole.select(
+        "license_id", digest.alias("_template"), F.array_distinct(_shingles(F.col("_w"))).alias("_g")
+    )
+    index = wanted.select("license_id", "_template", F.size("_g").alias("_n"), F.explode("_g").alias("_shingle"))
+    total = templates.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    if total <= broadcast_bytes:
+        index = F.broadcast(index)
+
+    texts = documents.select(
+        F.col(key).alias(key), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_w"), F.monotonically_increasing_id().alias("_row")
+    )
+    shingles = texts.select(key, "_row", F.posexplode(_shingles(F.col("_w"))).alias("_p", "_shingle"))
+    held = shingles.join(index, "_shingle").groupBy(key, "_row", "license_id", "_template", "_n").agg(
+        F.count_distinct("_shingle").alias("_held"), F.min("_p").alias("first_word")
+    )
+    share = held.select(key, "_row", "license_id", (F.col("_held") / F.col("_n")).alias("containment"), "first_word").filter(F.col("containment") >= least)
+    best = F.max(F.struct("containment", (-F.col("first_word")).alias("back"))).alias("_best")
+    return share.groupBy(key, "_row", "license_id").agg(best).select(
+        key, "license_id", F.col("_best.containment").alias("containment"), (-F.col("_best.back")).alias("first_word")
     )
-    share = F.size(F.array_intersect("wanted", _shingles(F.col("_w")))) / F.size("wanted")
-    return pairs.select(key, "license_id", share.alias("containment"), "first_word").filter(F.col("containment") >= least)

@@ -40,6 +40,21 @@ def test_license_of_many_words(documents, spark):
     assert [(r["doc_id"], r["license_id"]) for r in rows] == [(0, "L")]
 
 
+def changed(text, every):
+    return " ".join("changed" if i % every == 0 else w for i, w in enumerate(text.split(), 1))
+
+
+def test_more_than_2000_license_shingles(documents, spark):
+    long = " ".join(f"t{i}" for i in range(6000))
+    templates = spark.createDataFrame([("L", long)] + [(f"S{i}", " ".join(f"s{i}x{j}" for j in range(20))) for i in range(200)], "license_id string, text string")
+    texts = [f"a b {changed(long, 100)} c", "x " + " ".join(f"s7x{j}" for j in range(20)), " ".join(long.split()[:4000]), None]
+    for limit in (licenses.BROADCAST_BYTES, 0):
+        rows = licenses.scan(documents(texts), templates, broadcast_bytes=limit).collect()
+        got = {r["doc_id"]: (r["license_id"], round(r["containment"], 6), r["first_word"]) for r in rows}
+        lost = {j for i in range(100, 6001, 100) for j in range(max(0, i - 5), min(5996, i))}
+        assert got == {0: ("L", round(1 - len(lost) / 5996, 6), 2), 1: ("S7", 1.0, 1)} and len(rows) == 2
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 @pytest.mark.parametrize("name", ["op3_licenses", "op7_warc"])
 def test_query_equals_sql(spark, name):
