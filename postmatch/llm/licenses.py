@@ -15,6 +15,7 @@ give a row; a five-word notice with another word is often another license's, so
 from __future__ import annotations
 
 from collections.abc import Sequence
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,36 @@ NOTICES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
 )
+# Other usual wordings; texts and headers are in the folder license_texts, named <license_id>.<kind>.txt.
+WORDINGS = (
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Licensed under the Apache 2.0 License."),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Distributed under the Apache License, Version 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Released under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", "the GNU General Public License, version 2."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MIT", "Available under the MIT License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+)
 
 
 def notice_templates(spark: SparkSession, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
     return spark.createDataFrame(list(notices), "license_id string, text string")
 
 
+def license_templates(spark: SparkSession) -> DataFrame:
+    """The texts and headers of the folder license_texts, the notices and their other wordings."""
+    files = sorted((f for f in resources.files("postmatch.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    texts = [(f.name.rsplit(".", 2)[0], f.read_text(encoding="utf-8")) for f in files]
+    return notice_templates(spark, [*texts, *NOTICES, *WORDINGS])
+
+
 def words_of(text: Column) -> Column:
     plain = F.lower(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
     bare = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"(?<=\x20)[\p{P}\p{S}]+|[\p{P}\p{S}]+(?=\x20)", "")

@@ -77,7 +77,7 @@ def _notices_sql() -> str:
 
 @register("op3_licenses", _notices_sql())
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.notice_templates(spark))
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.license_templates(spark))
     return found.select("doc_id", "license_id", "containment")
 
 

@@ -44,6 +44,21 @@ def changed(text, every):
     return " ".join("changed" if i % every == 0 else w for i, w in enumerate(text.split(), 1))
 
 
+def test_license_texts_headers_and_near_copies(documents, spark):
+    templates = licenses.license_templates(spark)
+    by = {}
+    for r in templates.collect():
+        by.setdefault(r["license_id"], []).append(r["text"])
+    own = [(n, max(by[n], key=len)) for n in ("MIT", "BSD-2-Clause", "ISC", "MPL-2.0", "CC0-1.0")]
+    own += [("Apache-2.0", next(t for t in by["Apache-2.0"] if t.startswith("Licensed under the Apache License, Version 2.0 (the"))), ("CC-BY-4.0", by["CC-BY-4.0"][0])]
+    texts = [f"some {text} more" for _, text in own] + [changed(text, 25) for _, text in own[:6]] + [changed(text, 4) for _, text in own[:6]]
+    texts += ["we are distributed under the MIT License, as said", "released under the FOO license", dict(licenses.NOTICES)["GPL-3.0"]]
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan(documents(texts), templates).collect()}
+    assert {(i, n) for i, (n, _) in enumerate(own)} | {(len(own) + i, n) for i, (n, _) in enumerate(own[:6])} <= got
+    assert not [g for g in got if 13 <= g[0] < 19 or g[0] == 20] and (19, "MIT") in got
+    assert {n for i, n in got if i == 21} == {"GPL-3.0"}
+
+
 def test_more_than_2000_license_shingles(documents, spark):
     long = " ".join(f"t{i}" for i in range(6000))
     templates = spark.createDataFrame([("L", long)] + [(f"S{i}", " ".join(f"s{i}x{j}" for j in range(20))) for i in range(200)], "license_id string, text string")
