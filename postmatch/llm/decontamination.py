@@ -1,6 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into probes of `PROBE` bytes (a shorter item is one probe). A document leaks an
+Benchmark items are cut into probes of `PROBE` bytes that start every `STRIDE` bytes (a shorter item is one
+probe), so a word-for-word passage of `PROBE` bytes lacks at most half a stride of some probe, which the
+budget covers wherever the passage begins. A document leaks an
 item if some region of it is within the edit budget of a probe: a tenth of the probe's bytes. With k edits
 at most, a probe of m bytes and its region share m - q + 1 - k q q-grams, all on k + 1 neighbouring
 diagonals. So the shared q-grams of each document and item are counted in overlapping bands of 2 (k + 1)
@@ -31,7 +33,7 @@ from postmatch.llm.common import MIX, arrow_rows, pieces, utf8
 
 Q = 8
 PROBE = 100
-STRIDE = 50
+STRIDE = 10
 BUDGET = 0.1
 BLOCK_BYTES = 4 << 20
 TABLE_BITS = 22

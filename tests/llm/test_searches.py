@@ -121,6 +121,15 @@ def test_leaks_equal_full_alignment(documents, spark):
     assert decontamination.leaks(df.limit(0), bench).count() == 0
 
 
+def test_excerpts_at_every_offset(documents, spark):
+    rng = random.Random(7)
+    item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(60))
+    size = decontamination.PROBE
+    texts = [f"zzz z {item[at : at + size]} zz zzz" for at in range(len(item) - size + 1)]
+    found = decontamination.leaks(documents(texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(len(texts)))
+
+
 def exact(ids, v, k):
     out = {}
     for i, q in zip(ids, v, strict=True):
