@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmatch.llm.common import BYTE_CODES, all_span_hashes, arrow_rows, pieces, prefix_sums, span_hash, stored, utf8
@@ -33,8 +34,12 @@ from postmatch.llm.common import BYTE_CODES, all_span_hashes, arrow_rows, pieces
 LENGTH = 200
 ANCHOR = 64
 BLOCK = 1 << 20
-SHARD_BYTES = 4 << 20
-SHARD_SEGMENTS = 10_000
+#: A task holds about 120 bytes per byte of its shard.
+SHARD_BYTES = 1 << 20
+#: Segments of one anchor in a shard; each has under 2 * LENGTH bytes.
+SHARD_SEGMENTS = 3000
+#: Shards that are dealt by one running sum of sizes.
+TOGETHER = 16
 _PLACE = np.uint64(2 * BLOCK - 1)
 DEPTH = 7
 SPANS = "doc_id long, t long, begin long, until long"
@@ -79,12 +84,14 @@ def suffix_array(words: np.ndarray, unique: np.ndarray) -> tuple[np.ndarray, np.
     rank `depth` positions on, which doubles the sorted depth; positions alone in their group drop out.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
-    sorted_words = words[order]
+    small = np.int32 if n < 2**31 else np.int64
+    order = np.argsort(words, kind="stable").astype(small)
+    words = words[order]
     opens = np.ones(n, bool)
-    opens[1:] = (sorted_words[1:] != sorted_words[:-1]) | unique[order[1:]] | unique[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    opens[1:] = (words[1:] != words[:-1]) | unique[order[1:]] | unique[order[:-1]]
+    del words
+    rank = np.empty(n, small)
+    rank[order] = np.maximum.accumulate(np.where(opens, np.arange(n, dtype=small), small(0)))
     depth = DEPTH
     while True:
         closes = np.append(opens[1:], True)
@@ -92,13 +99,12 @@ def suffix_array(words: np.ndarray, unique: np.ndarray) -> tuple[np.ndarray, np.
         if not len(slots):
             return order, rank
         active = order[slots]
-        key = rank[active] * np.int64(n + 1) + rank[np.minimum(active + depth, n - 1)]
+        key = rank[active] * np.int64(n + 1) + rank[np.minimum(active.astype(np.int64) + depth, n - 1)]
         by = np.argsort(key, kind="stable")
         key = key[by]
         order[slots] = active[by]
         opens[slots] = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.maximum.accumulate(np.where(opens[slots], slots, 0))
-        rank[order[slots]] = group
+        rank[order[slots]] = np.maximum.accumulate(np.where(opens[slots], slots, 0))
         depth *= 2
 
 
@@ -143,21 +149,23 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> tuple[np.nda
     raw = np.frombuffer(b"\0".join(segments) + b"\0" * 9, np.uint8)
     n = int(sizes.sum()) + len(segments)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    words = np.zeros(n, np.uint64)
-    for k in range(8):
-        words |= raw[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
     ends = np.repeat(begin + sizes, sizes + 1)
     symbols = np.zeros(n, np.uint64)
-    places = np.arange(n)
+    left = ends - np.arange(n)
     for k in range(DEPTH):
-        symbols |= np.where(places + k < ends, raw[k : k + n].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(9 * (DEPTH - 1 - k))
-    order, rank = suffix_array(symbols, places + DEPTH > ends)
+        symbols |= np.where(left > k, raw[k : k + n].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(9 * (DEPTH - 1 - k))
+    order, rank = suffix_array(symbols, left < DEPTH)
+    del symbols, left
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words |= raw[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
     count = np.maximum(sizes - length + 1, 0)
     lengths = common_prefixes(words, order, rank, ends, begin, count)
     starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     with_previous = np.zeros(n + 1, bool)
     with_previous[rank[starts]] = lengths >= length
     again = with_previous[rank[starts]] | with_previous[rank[starts] + 1]
+    del words, ends, order
     number = np.cumsum(~with_previous[:n])
     return again, number[rank[starts]], count
 
@@ -244,12 +252,18 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
     copied = segments.join(kinds.filter(F.col("n") > 1).select("a", "s"), ["a", "s"], "left_semi")
     whole = copied.select("doc_id", "t", F.col("low").alias("begin"), (F.col("high") + length).alias("until"))
 
-    several = stored(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > 1))
-    compared = stored(kinds.join(several, "a").select("a", "s", "n", "kinds", "at.*"))
-    size = compared.select(F.sum(F.col("high") - F.col("low") + length).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
+    bytes_of = F.col("at.high") - F.col("at.low") + length
+    several = stored(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.sum(bytes_of).alias("bytes")).filter(F.col("kinds") > 1))
+    # Anchors are packed by their sizes: a running sum in each of many groups of anchors is cut into shards.
+    size = several.select(F.sum("bytes").alias("n")).first()["n"] or 0
+    groups = max(1, math.ceil(size / (TOGETHER * shard_bytes)))
+    group = F.pmod(F.xxhash64("a"), F.lit(groups))
+    until_here = F.sum("bytes").over(W.partitionBy("group").orderBy("a").rowsBetween(W.unboundedPreceding, W.currentRow))
+    packed = several.withColumn("group", group).withColumn("place", F.floor(until_here / F.lit(shard_bytes)))
+    packed = stored(packed.select("a", "kinds", F.xxhash64(F.lit("packed"), "group", "place").alias("own")))
+    compared = stored(kinds.join(packed, "a").select("a", "s", "n", "kinds", "own", "at.*"))
     parts = F.ceil(F.col("kinds") / shard_segments)
-    shard = F.when(parts > 1, F.xxhash64("a", F.pmod(F.col("s"), parts))).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
+    shard = F.when(parts > 1, F.xxhash64("a", F.pmod(F.col("s"), parts))).otherwise(F.col("own"))
     wanted = compared.select("doc_id", "t", F.struct(shard.alias("shard"), (parts > 1).alias("split"), "n", "low", "high").alias("w"))
     by_text = wanted.groupBy("doc_id", "t").agg(F.collect_list("w").alias("w"))
 
