@@ -6,8 +6,8 @@ budget covers wherever the passage begins. A document leaks an
 item if some region of it is within the edit budget of a probe: a tenth of the probe's bytes. With k edits
 at most, a probe of m bytes and its region share m - q + 1 - k q q-grams, all on k + 1 neighbouring
 diagonals. So the shared q-grams of each document and item are counted in overlapping bands of 2 (k + 1)
-diagonals; bands that reach the bound are verified by banded alignment of the item's probes. Nothing
-within the budget is missed.
+diagonals; in bands that reach the bound, each probe with enough of them inside it is verified by banded
+alignment. Nothing within the budget is missed.
 
 Texts are lower-cased, runs of white space count as one blank; edits are bytes of UTF-8.
 
@@ -84,6 +84,11 @@ class Probes:
             self.edits = max(self.edits, max(k for _, _, k in own))
         self.width = 2 * (self.edits + 1)
         self.least = np.array(self.least, np.int64)
+        # All probes end to end: where each begins in its item, its q-grams' last place and its own bound.
+        of = np.array([len(own) for own in self.probes], np.int64)
+        self.of, self.first_probe = of, np.cumsum(of) - of
+        flat = [(s, s + len(p) - Q, len(p) - Q + 1 - k * Q) for own in self.probes for s, p, k in own]
+        self.begin, self.end, self.bound = np.array(flat, np.int64).reshape(-1, 3).T
         size = np.array([max(0, len(t) - Q + 1) for _, t in self.items], np.int64)
         grams = np.concatenate([np.zeros(0, np.uint64), *[grams_of(np.frombuffer(t, np.uint8)) for _, t in self.items]])
         place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
@@ -99,8 +104,8 @@ class Probes:
         return (grams * MIX) >> np.uint64(64 - TABLE_BITS)
 
     def bands(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(text, item, first diagonal) of all bands with enough shared q-grams."""
-        none = np.zeros((0, 3), np.int64)
+        """(text, item, first diagonal, probe) of all bands with enough shared q-grams, and of the probes in which enough of them lie."""
+        none = np.zeros((0, 4), np.int64)
         grams = grams_of(raw)
         if not len(grams) or not len(self.grams):
             return none
@@ -119,15 +124,34 @@ class Probes:
         diagonal = np.repeat(at + (text + 1) * self.gap, n) - self.place[entry]
         item, half, items = self.item[entry], self.width // 2, len(self.items)
         out = []
+        place = self.place[entry]
         for shift in (0, half):
-            key, c = np.unique((diagonal + shift) // self.width * items + item, return_counts=True)
-            key = key[c >= self.least[key % items]]
-            low = key // items * self.width - shift
-            out.append(np.stack([low, key % items], axis=1))
+            key = (diagonal + shift) // self.width * items + item
+            kinds, number, c = np.unique(key, return_inverse=True, return_counts=True)
+            enough = np.flatnonzero(c >= self.least[kinds % items])
+            if not len(enough):
+                continue
+            band = np.full(len(kinds), -1)
+            band[enough] = np.arange(len(enough))
+            inner = band[number] >= 0
+            # Of a band that passes, every probe is counted for itself: distinct places of its item that lie inside.
+            span = int(place.max()) + 2
+            places = np.unique(band[number[inner]] * span + place[inner])
+            kinds = kinds[enough]
+            probes = self.of[kinds % items]
+            here = np.repeat(np.arange(len(kinds)), probes)
+            probe = np.arange(len(here)) - np.repeat(np.cumsum(probes) - probes, probes)
+            at_probe = np.repeat(self.first_probe[kinds % items], probes) + probe
+            held = np.searchsorted(places, here * span + np.minimum(self.end[at_probe], span - 1), side="right") - np.searchsorted(places, here * span + np.minimum(self.begin[at_probe], span - 1))
+            fine = held >= self.bound[at_probe]
+            kinds, probe = kinds[here[fine]], probe[fine]
+            out.append(np.stack([kinds // items * self.width - shift, kinds % items, probe], axis=1))
+        if not out:
+            return none
         found = np.unique(np.concatenate(out), axis=0)
         shifted = offsets[:-1] + (np.arange(len(offsets) - 1) + 1) * self.gap
         row = np.clip(np.searchsorted(shifted - self.gap // 2, found[:, 0], side="right") - 1, 0, len(shifted) - 1)
-        return np.stack([row, found[:, 1], found[:, 0] - (row + 1) * self.gap - offsets[row]], axis=1)
+        return np.stack([row, found[:, 1], found[:, 0] - (row + 1) * self.gap - offsets[row], found[:, 2]], axis=1)
 
     def leaks(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, number of probes met, fewest edits, where the first begins) of all leaks of a column."""
@@ -136,9 +160,9 @@ class Probes:
             own, part = offsets[x : y + 1] - offsets[x], raw[offsets[x] : offsets[y]]
             found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
             jobs = []
-            for row, item, low in self.bands(part, own).tolist():
-                for number, (start, probe, k) in enumerate(self.probes[item]):
-                    jobs.append((row, item, number, low + start - k, probe, k))
+            for row, item, low, number in self.bands(part, own).tolist():
+                start, probe, k = self.probes[item][number]
+                jobs.append((row, item, number, low + start - k, probe, k))
             for at in range(0, len(jobs), 2000):
                 chunk = jobs[at : at + 2000]
                 for job, edits in zip(chunk, self._align(part, own, chunk), strict=True):
