@@ -13,11 +13,11 @@ from postmatch.functions.audience import with_audience
 from postmatch.functions.context import areas_in_description, course_starts, requires_years
 from postmatch.functions.courses import AreaCatalog, plain_fold
 from postmatch.functions.text import fold_text
-from postmatch.operators.keyed import numbered, range_step
-from postmatch.sources.regions import DISTANT, SAME_CITY, proximity, same_city
+from postmatch.operators.keyed import dealt_join, numbered, range_step
+from postmatch.session import cut_lineage
+from postmatch.sources.regions import DISTANT, SAME_CITY, proximity
 
 ANY_AREA = "-"
-REMOTE_SALTS = 16
 
 
 # --- posting-only features --------------------------------------------------------------------------
@@ -145,52 +145,57 @@ def _keys(*parts: Column) -> Column:
     return F.array_compact(F.array(*parts))
 
 
-def posting_place_keys(identity: Column) -> Column:
-    """Join keys of a posting's place. A (posting, profile) pair in one city shares exactly one key.
-
-    The remote key is salted by the posting, since a third of all postings may be remote.
-    """
+def posting_place_keys() -> Column:
+    """Join keys of a posting's place. A (posting, class) pair in one city shares exactly one key."""
     name, uf = F.col("city_name"), F.col("city_uf")
     named = name != ""
-    salt = F.pmod(F.xxhash64(identity), F.lit(REMOTE_SALTS)).cast("string")
     return _keys(
         F.when(named & uf.isNotNull(), F.concat_ws(":", F.lit("C"), name, uf)),
         F.when(named & uf.isNull(), F.concat_ws(":", F.lit("N"), name)),
         F.when(named, F.concat_ws(":", F.lit("A"), name)),
         F.when(F.col("region_id").isNotNull(), F.concat_ws(":", F.lit("R"), F.col("region_id").cast("string"))),
-        F.when(F.col("admits_remote"), F.concat_ws(":", F.lit("T"), salt)),
+        F.when(F.col("admits_remote"), F.lit("T")),
     )
 
 
-def profile_place_keys() -> Column:
+def class_place_keys() -> Column:
     name, uf, region = F.col("p_city_name"), F.col("p_city_uf"), F.col("p_region_id")
     named = name != ""
-    remote = F.when(
-        F.col("p_mode") != "presencial",
-        F.transform(F.sequence(F.lit(0), F.lit(REMOTE_SALTS - 1)), lambda s: F.concat_ws(":", F.lit("T"), s.cast("string"))),
-    )
-    place = _keys(
+    return _keys(
         F.when(named & uf.isNotNull(), F.concat_ws(":", F.lit("C"), name, uf)),
         F.when(named & uf.isNotNull(), F.concat_ws(":", F.lit("N"), name)),
         F.when(named & uf.isNull(), F.concat_ws(":", F.lit("A"), name)),
         F.when(named & uf.isNull(), F.concat_ws(":", F.lit("N"), name)),
         F.when(region.isNotNull(), F.concat_ws(":", F.lit("R"), region.cast("string"))),
+        F.when(F.col("p_mode") != "presencial", F.lit("T")),
     )
-    return F.concat(place, F.coalesce(remote, F.array().cast("array<string>")))
 
 
-def candidate_pairs(
+#: All that the rules see of a profile.
+CLASS = ("p_area", "p_course", "p_city_name", "p_city_uf", "p_region_id", "p_mode", "p_technical", "p_disability")
+
+
+def profile_classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): profiles that no rule tells apart are one class; members are (class_id, profile_id)."""
+    keyed = profiles.select("p_profile_id", F.struct(*CLASS).alias("_class"))
+    classes = cut_lineage(keyed.select("_class").distinct().withColumn("class_id", F.monotonically_increasing_id()))
+    members = keyed.join(classes, "_class").select("class_id", F.col("p_profile_id").alias("profile_id"))
+    return classes.select("class_id", "_class.*"), members
+
+
+def class_pairs(
     features: DataFrame,
-    profiles: DataFrame,
+    classes: DataFrame,
     mentions: DataFrame | None = None,
     posting_keys: Sequence[str] = ("source", "external_id"),
 ) -> DataFrame:
-    """(posting keys, seq, profile_id) for every pair no rule discards.
+    """(posting keys, seq, class_id, proximity) for every posting and class of profiles that no rule discards.
 
     One equi-join on (area, place key). The keys of one pair are made disjoint by a residual test on
     which key joined it, so no distinct over pairs is needed:
     a city key always wins, a region key only when the city differs, the remote key only when distant;
-    the mentioned-course branch only takes pairs the area branch did not.
+    the mentioned-course branch only takes pairs the area branch did not. Keys that many postings and classes
+    share (the remote key above all) are dealt by their measured counts.
     """
     usable = ~(
         F.col("not_internship")
@@ -204,18 +209,15 @@ def candidate_pairs(
         "admits_remote", "pass_areas", "city_name", "city_uf", "region_id",
     ]
     kept = features.filter(usable).select(*light)
-    places = kept.withColumn("_place", F.explode(posting_place_keys(F.struct(*posting_keys))))
-    people = profiles.withColumn("_area", F.coalesce("p_area", F.lit(ANY_AREA))).withColumn(
-        "_place", F.explode(profile_place_keys())
-    )
-    by_area = places.withColumn("_area", F.explode("pass_areas")).join(people, ["_area", "_place"])
-    pairs = by_area
+    places = kept.withColumn("_place", F.explode(posting_place_keys()))
+    people = classes.withColumn("_area", F.coalesce("p_area", F.lit(ANY_AREA))).withColumn("_place", F.explode(class_place_keys()))
+    posting = F.struct(*posting_keys)
+    by_area = places.withColumn("_area", F.explode("pass_areas"))
+    pairs = dealt_join(by_area, people, ["_area", "_place"], posting, F.col("class_id"))
     if mentions is not None:
         named = places.join(mentions.withColumnRenamed("course", "p_course"), list(posting_keys))
-        by_course = named.join(people, ["p_course", "_place"]).filter(
-            ~F.array_contains("pass_areas", F.col("_area"))
-        )
-        pairs = by_area.unionByName(by_course.select(*by_area.columns))
+        by_course = dealt_join(named, people, ["p_course", "_place"], posting, F.col("class_id"))
+        pairs = pairs.unionByName(by_course.filter(~F.array_contains("pass_areas", F.col("_area"))).select(*pairs.columns))
     near = pair_proximity()
     kind = F.left("_place", F.lit(1))
     once = (
@@ -231,10 +233,25 @@ def candidate_pairs(
     exclusive = (F.col("audience") == V.AUDIENCE_EXCLUSIVE) & F.col("p_disability").eqNullSafe(F.lit(False))
     technical = F.col("requires_technical") & ~F.col("p_technical")
     return pairs.filter(once & ~wrong_mode & ~exclusive & ~technical).select(
-        *posting_keys, "seq", F.col("p_profile_id").alias("profile_id"), near.alias("proximity")
+        *posting_keys, "seq", "class_id", near.alias("proximity")
     )
 
 
+def candidate_pairs(
+    features: DataFrame,
+    profiles: DataFrame,
+    mentions: DataFrame | None = None,
+    posting_keys: Sequence[str] = ("source", "external_id"),
+) -> DataFrame:
+    """(posting keys, seq, profile_id, proximity) for every pair no rule discards.
+
+    Postings meet classes of profiles; only what passes is expanded to profiles.
+    """
+    classes, members = profile_classes(profiles)
+    pairs = class_pairs(features, classes, mentions, posting_keys)
+    return pairs.join(members, "class_id").select(*posting_keys, "seq", "profile_id", "proximity")
+
+
 def without_sent(candidates: DataFrame, sent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates the profile has not received."""
     return candidates.join(sent.select(*keys), list(keys), "left_anti")

@@ -85,3 +85,25 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
         targets = cut_lineage(hit.select(*keys, rank_inside.alias("_rank"), F.col("_cell").alias("_prefix")))
         shift_before = shift
     return targets.groupBy(*keys).agg(F.avg(F.col("_prefix").cast("double")).alias(name))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column, right_id: Column, rows: int = 4096) -> DataFrame:
+    """Inner equi-join whose hot keys are dealt over cells of at most about `rows` x `rows`.
+
+    Rows of a key are counted on both sides first. A key with more than `rows` on a side is cut there by a hash of
+    the row's id, and the other side's rows go to every cut; so the copies made are the least that bounded cells
+    need, and keys that are not hot make none. Null keys meet nothing.
+    """
+    keys = list(keys)
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+    hot = count(left, "_m").join(count(right, "_n"), keys).filter((F.col("_m") > 1) | (F.col("_n") > 1))
+    hot = cut_lineage(hot)  # at most one row per `rows` rows
+
+    def cells(df: DataFrame, own: str, other: str, own_cut: str, other_cut: str, row_id: Column) -> DataFrame:
+        mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        cut = F.pmod(F.xxhash64(row_id), mine).alias(own_cut)
+        return df.join(hot, keys, "left").select(*df.columns, cut, F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)).alias(other_cut))
+
+    one = cells(left, "_m", "_n", "_i", "_j", left_id)
+    two = cells(right, "_n", "_m", "_j", "_i", right_id)
+    return one.join(two, [*keys, "_i", "_j"]).drop("_i", "_j")

@@ -18,6 +18,7 @@ from postmatch.functions import skills
 from postmatch.functions.courses import AreaCatalog
 from postmatch.functions.text import fold_text, recognize_mode
 from postmatch.operators.candidates import pair_proximity
+from postmatch.operators.skill_sets import met_phrases
 from postmatch.sources.regions import DISTANT, SAME_CITY, SAME_REGION
 
 GOOD, PARTIAL, BAD = "compativel", "parcial", "incompativel"
@@ -66,7 +67,7 @@ def extraction_features(
     """
     keys = list(keys)
     cleaned = clean_extractions(extractions, catalog)
-    parsed = skills.with_parsed(cleaned, keys, LISTS, dictionary)
+    parsed = skills.with_phrases(cleaned, keys, LISTS, dictionary)
     items = cleaned.select(*keys, F.explode(accepted_items(some(F.col("accepted_courses")))).alias("_i")).select(*keys, "_i.*")
     forms = courses.select(F.col("course").alias("formation"), F.col("technical").alias("f_technical"), F.col("higher").alias("f_higher"))
     names = courses.select("course", "normalized", "area")
@@ -101,7 +102,7 @@ def extraction_features(
         F.col("mode").alias("e_mode"),
         F.col("read_complete").alias("e_read_complete"),
         F.col("catch_alert").alias("e_catch_alert"),
-        *[F.col(f"{c}_parsed").alias(f"e_{c}") for c in LISTS],
+        *[F.col(f"{c}_phrases").alias(f"e_{c}") for c in LISTS],
     )
 
 
@@ -124,15 +125,12 @@ def clean_extractions(extractions: DataFrame, catalog: AreaCatalog) -> DataFrame
     )
 
 
-def profile_features(
-    profiles: DataFrame, catalog: AreaCatalog, courses: DataFrame, dictionary: DataFrame
-) -> DataFrame:
-    """p_ columns of a profile: course facts, interests, declared skills. Place columns are added by
-    `identify_municipality(..., prefix="p_")`."""
+def profile_facts(profiles: DataFrame, catalog: AreaCatalog, courses: DataFrame) -> DataFrame:
+    """p_ columns of a profile without its skills: all that the discard rules need, once the place columns are
+    added by `identify_municipality(..., prefix="p_")`."""
     named = profiles.join(courses.drop("folded", "names", "higher"), "course", "left")
-    parsed = skills.with_parsed(named, ["profile_id"], ["skills"], dictionary)
     interests = some(F.col("interest_areas"))
-    return parsed.select(
+    return named.select(
         F.col("profile_id").alias("p_profile_id"),
         F.col("course").alias("p_course"),
         F.col("normalized").alias("p_normalized"),
@@ -146,10 +144,19 @@ def profile_features(
         _mapped(interests, catalog.area_of_subarea).alias("p_fields"),
         F.array_except(some(F.col("refused_areas")), interests).alias("p_refused"),
         F.exists(some(F.col("skills")), lambda s: F.trim(s) != "").alias("p_has_skills"),
-        skills.declared_skills(F.col("skills_parsed")).alias("p_declared"),
+        some(F.col("skills")).alias("p_skills"),
     )
 
 
+def profile_features(
+    profiles: DataFrame, catalog: AreaCatalog, courses: DataFrame, dictionary: DataFrame
+) -> DataFrame:
+    """The facts of a profile and the numbers of the skill phrases it meets."""
+    facts = profile_facts(profiles, catalog, courses)
+    met = met_phrases(facts.select(F.col("p_skills").alias("skills")), dictionary)
+    return facts.join(met.withColumnRenamed("skills", "p_skills"), "p_skills").drop("p_skills")
+
+
 # --- levels -----------------------------------------------------------------------------------------
 def area_level() -> Column:
     unknown = F.col("e_area").isNull() | F.col("p_area").isNull()
@@ -244,9 +251,8 @@ def score_columns(pairs: DataFrame, catalog: AreaCatalog) -> DataFrame:
     """Adds levels, the 0-100 score and the verdicts of each skill list."""
     computing = F.coalesce(F.col("p_area") == V.COMPUTING_AREA, F.lit(False))
     compare_words = ~computing & ~F.col("e_area").eqNullSafe(F.lit(V.COMPUTING_AREA))
-    verdicts = {
-        f"v_{c}": skills.judged(F.col(f"e_{c}"), F.col("p_declared"), compare_words) for c in LISTS
-    }
+    met = F.when(compare_words, F.col("p_met")).otherwise(F.col("p_named"))
+    verdicts = {f"v_{c}": skills.judged(F.col(f"e_{c}"), met) for c in LISTS}
     levelled = fill_from_extraction(pairs).withColumns(
         {
             **verdicts,
@@ -285,34 +291,30 @@ def score_columns(pairs: DataFrame, catalog: AreaCatalog) -> DataFrame:
 
 
 # --- explanations -----------------------------------------------------------------------------------
-def _texts_without_repeats(texts: Column) -> Column:
-    return F.array_distinct(F.filter(texts, lambda t: F.trim(t) != ""))
-
-
 def explain_requirements(scored: DataFrame) -> DataFrame:
-    """Adds requirements_met, requirements_unmet and nice_unmet, in list order."""
+    """Adds requirements_met, requirements_unmet and nice_unmet, in list order.
+
+    A requirement is named by its first variant, or where one is not met, by the first that is not.
+    """
     needed = F.concat("v_required_skills", "v_main_skills")
     nice = F.col("v_nice_skills")
-    names, nice_names = skills.identities(needed), skills.identities(nice)
-    only_nice = F.array_except(nice_names, names)
+    only_nice = F.array_except(skills.identities(nice), skills.identities(needed))
 
-    def variants(verdicts: Column, identity: Column) -> Column:
-        return F.filter(verdicts, lambda v: v["identity"] == identity)
+    def named(wanted: Column, verdicts: Column) -> Column:
+        first = F.transform(wanted, lambda i: F.try_element_at(F.filter(verdicts, lambda v: v["identity"] == i), F.lit(1)))
+        return F.transform(first, lambda v: v["text"])
 
-    def met(identities: Column, verdicts: Column) -> Column:
-        kept = F.filter(identities, lambda i: skills.all_met(verdicts, i))
-        return F.transform(kept, lambda i: F.try_element_at(variants(verdicts, i), F.lit(1))["text"])
+    def met(wanted: Column, verdicts: Column) -> Column:
+        return named(F.array_except(wanted, skills.unmet_identities(verdicts)), verdicts)
 
-    def unmet(identities: Column, verdicts: Column) -> Column:
-        kept = F.filter(identities, lambda i: ~skills.all_met(verdicts, i))
-        return F.transform(
-            kept, lambda i: F.try_element_at(F.filter(variants(verdicts, i), lambda v: ~v["met"]), F.lit(1))["text"]
-        )
+    def unmet(wanted: Column, verdicts: Column) -> Column:
+        missing = F.filter(verdicts, lambda v: ~v["met"])
+        return named(F.array_intersect(wanted, skills.identities(missing)), missing)
 
     return scored.withColumns(
         {
-            "requirements_met": F.concat(met(names, needed), met(only_nice, nice)),
-            "requirements_unmet": unmet(names, needed),
+            "requirements_met": F.concat(met(skills.identities(needed), needed), met(only_nice, nice)),
+            "requirements_unmet": unmet(skills.identities(needed), needed),
             "nice_unmet": unmet(only_nice, nice),
         }
     )

@@ -9,7 +9,7 @@ from postmatch.functions.courses import Area, AreaCatalog, course_dictionary
 from postmatch.functions.skills import skill_dictionary
 from postmatch.functions.text import clean_key, opening_words
 from postmatch.operators import scoring
-from postmatch.operators.candidates import posting_features
+from postmatch.operators.candidates import CLASS, posting_features
 from postmatch.operators.dedup import ad_key, duplicate_key
 from postmatch.plans.bindings import case, table
 from postmatch.session import cut_lineage
@@ -225,6 +225,11 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def people_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The courses of profiles alone: all that candidates need."""
+    return cut_lineage(course_dictionary(people(spark, sf_dir).select("course"), CATALOG))
+
+
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = scoring.accepted_course_names(extractions(spark, sf_dir))
     return cut_lineage(course_dictionary(people(spark, sf_dir).select("course").union(accepted), CATALOG))
@@ -235,7 +240,15 @@ def all_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = extractions(spark, sf_dir).select(
         F.explode(F.concat("required_skills", "main_skills", "nice_skills")).alias("skill")
     )
-    return cut_lineage(skill_dictionary(mine.union(asked)))
+    return skill_dictionary(mine.union(asked))
+
+
+def people_places(spark: SparkSession, sf_dir: str, named: DataFrame) -> DataFrame:
+    """What the discard rules need of a profile; skills are not read."""
+    states, regions = places(spark, sf_dir)
+    facts = scoring.profile_facts(people(spark, sf_dir).withColumn("skills", F.lit(None).cast("array<string>")), CATALOG, named)
+    placed = identify_municipality(facts, "p_city", states, regions, prefix="p_")
+    return cut_lineage(placed.select("p_profile_id", *CLASS))
 
 
 def people_features(

@@ -165,13 +165,13 @@ from v_pairs o join v_posting_places d on d.seq = o.seq join v_people p on p.pro
 def discard_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First discard reason of the pairs the orders table names."""
     keys = ["source", "external_id"]
-    features, courses = M.features(spark, sf_dir), M.courses(spark, sf_dir)
-    people = M.people_features(spark, sf_dir, courses)
+    features, courses = M.features(spark, sf_dir), M.people_courses(spark, sf_dir)
+    people = M.people_places(spark, sf_dir, courses)
     mentions = C.course_mentions(features, courses, keys).select(
         *keys, F.col("course").alias("p_course"), F.lit(True).alias("_mentioned")
     )
     pairs = M.order_pairs(spark, sf_dir)
-    joined = pairs.join(features.drop("tails"), "seq").join(people.drop("p_declared"), "p_profile_id")
+    joined = pairs.join(features.drop("tails"), "seq").join(people, "p_profile_id")
     named = joined.join(mentions, [*keys, "p_course"], "left")
     return named.select("o_orderkey", C.pair_reason(F.coalesce("_mentioned", F.lit(False))).alias("reason"))
 
@@ -188,9 +188,9 @@ def discard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, courses = M.features(spark, sf_dir), M.courses(spark, sf_dir)
+    features, courses = M.features(spark, sf_dir), M.people_courses(spark, sf_dir)
     mentions = C.course_mentions(features, courses, ["source", "external_id"])
-    return C.candidate_pairs(features, M.people_features(spark, sf_dir, courses), mentions)
+    return C.candidate_pairs(features, M.people_places(spark, sf_dir, courses), mentions)
 
 
 CANDIDATES_SQL = f"""{M.MATCHING_SQL}, v_candidates as (
@@ -243,7 +243,7 @@ union select 'national', null union select 'general', null from v_people where a
 )
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, regions = M.places(spark, sf_dir)
-    people = M.people_features(spark, sf_dir).select(
+    people = M.people_places(spark, sf_dir, M.people_courses(spark, sf_dir)).select(
         F.col("p_mode").alias("mode"), F.initcap("p_city_name").alias("city"), F.col("p_region_id").alias("region_id"),
         F.col("p_area").alias("area"),
     )

@@ -73,7 +73,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skill_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = M.scored_pairs(spark, sf_dir)
     no = F.lit(False)
-    verdicts = [skills.judged(F.col(f"e_{c}"), F.col("p_declared"), F.lit(True)) for c in scoring.LISTS]
+    verdicts = [skills.judged(F.col(f"e_{c}"), F.col("p_met")) for c in scoring.LISTS]
     judged = pairs.select("o_orderkey", *[v.alias(f"v{i}") for i, v in enumerate(verdicts)])
     covered = judged.select("o_orderkey", *[skills.coverage(F.col(f"v{i}"), no).alias(f"c{i}") for i in range(3)])
     part = skills.skill_component(F.col("c0"), F.col("c1"), F.col("c2"))

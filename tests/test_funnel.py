@@ -147,4 +147,3 @@ def test_exact_median(spark, size):
     values = [random.Random(size).randrange(-(10**13), 10**13) for _ in range(size)] + [5] * (size // 3)
     df = spark.createDataFrame([(v,) for v in values], "v long")
     assert exact_median(df, "v").first()[0] == statistics.median(values)
-    assert exact_median(df, "v", direct=0).first()[0] == statistics.median(values)
