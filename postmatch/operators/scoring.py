@@ -18,6 +18,7 @@ from postmatch.functions import skills
 from postmatch.functions.courses import AreaCatalog
 from postmatch.functions.text import fold_text, recognize_mode
 from postmatch.operators.candidates import pair_proximity
+from postmatch.operators.keyed import first_per_key
 from postmatch.operators.skill_sets import met_phrases
 from postmatch.sources.regions import DISTANT, SAME_CITY, SAME_REGION
 
@@ -404,6 +405,11 @@ def score_pairs(pairs: DataFrame, catalog: AreaCatalog) -> DataFrame:
     return ruled.drop(*helper)
 
 
+def newest_extractions(extractions: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """Of several readings of a posting the newest version holds."""
+    return first_per_key(extractions, list(keys), [F.col(version).desc()]).drop(version)
+
+
 # --- cached extractions -----------------------------------------------------------------------------
 def with_cached_extraction(postings: DataFrame, extractions: DataFrame, model: str, keys: Sequence[str]) -> DataFrame:
     """Postings with the extraction of this model version, or nulls; `pending` marks those to read.

@@ -11,7 +11,7 @@ from postmatch.functions.text import clean_key, opening_words
 from postmatch.operators import scoring
 from postmatch.operators.candidates import CLASS, posting_features
 from postmatch.operators.dedup import ad_key, duplicate_key
-from postmatch.plans.bindings import case, table
+from postmatch.plans.bindings import case, documents_to, table
 from postmatch.session import cut_lineage
 from postmatch.sources.regions import build_region_catalog, identify_municipality, state_codes
 
@@ -203,6 +203,9 @@ v_posting_places as (
 
 # people ---------------------------------------------------------------------------------------------
 SKILL_WORDS = ("red", "large", "small", "plate", "rod", "ring", "blue", "bolt")
+# Declared and required phrases with aliases, levels, families and alternatives beside the plain words.
+SKILL_PHRASES = {0: "MySQL", 1: "SQL avançado", 2: "Python básico", 3: "Excel", 4: "JavaScript"}
+REQUIRED_PHRASES = {0: "SQL avançado", 1: "Python ou red", 2: "banco de dados", 3: "Excel e plate"}
 INTERESTS = {0: "obras", 1: "decoracao", 2: "maquinas"}
 
 
@@ -216,7 +219,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("profile_id"),
         F.when(key % 10 == 0, F.concat(F.lit("Técnico em "), segment)).otherwise(segment).alias("course"),
         (key % 8 + 1).cast("int").alias("period"),
-        F.when(key % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(*words)).alias("skills"),
+        F.when(key % 11 == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*words, case(key % 6, SKILL_PHRASES)))).alias("skills"),
         _location(city, case(city % 5, STATE_OF)).alias("city"),
         case(key % 4, {0: "remoto", 1: "presencial", 2: "hibrido", 3: "indiferente"}).alias("mode"),
         F.array_compact(F.array(interest)).alias("interest_areas"),
@@ -262,12 +265,17 @@ def people_features(
 
 
 PEOPLE_SQL = """v_people as (
-  select *, case segment when 'BUILDING' then 'construcao' when 'MACHINERY' then 'construcao'
+  select *, list_concat(skills, list_filter([case when list_has_any(skills, ['MySQL', 'SQL avançado']) then 'banco de dados' end,
+      case when list_has_any(skills, ['Python básico', 'red']) then 'Python ou red' end,
+      case when list_has_all(skills, ['Excel', 'plate']) then 'Excel e plate' end,
+      case when list_contains(skills, 'JavaScript') then 'JS' end], lambda x: x is not null)) as meets,
+    case segment when 'BUILDING' then 'construcao' when 'MACHINERY' then 'construcao'
     when 'HOUSEHOLD' then 'casa' when 'FURNITURE' then 'casa' end as area, c.region_id
   from (select c_custkey as profile_id, c_mktsegment as segment, c_custkey % 10 = 0 as is_technical, c_custkey % 8 + 1 as period,
     case when c_custkey % 11 = 0 then []::varchar[] else
       [(['red','large','small','plate','rod','ring','blue','bolt'])[(c_custkey % 8) + 1],
-       (['red','large','small','plate','rod','ring','blue','bolt'])[((c_custkey + 3) % 8) + 1]] end as skills,
+       (['red','large','small','plate','rod','ring','blue','bolt'])[((c_custkey + 3) % 8) + 1]]
+      || case when c_custkey % 6 < 5 then [(['MySQL','SQL avançado','Python básico','Excel','JavaScript'])[(c_custkey % 6) + 1]] else [] end end as skills,
     c_custkey % 500 as city, (['remoto','presencial','hibrido','indiferente'])[(c_custkey % 4) + 1] as mode,
     case c_custkey % 5 when 0 then 'obras' when 1 then 'decoracao' when 2 then 'maquinas' end as interest,
     c_custkey % 7 = 0 and c_custkey % 5 <> 1 as refuses_decoracao,
@@ -293,14 +301,19 @@ REASON_SQL = f"""case when d.not_internship then 'nao_e_estagio' when d.seniorit
 
 # extractions ----------------------------------------------------------------------------------------
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is one reading of a posting: part numbers are folded onto documents, a later one is a newer version."""
     key, words = F.col("p_partkey"), F.split("p_name", " ")
     none = F.array().cast("array<string>")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("source"))
-    parts = table(spark, sf_dir, "part").join(docs, "p_partkey")
+    documents = table(spark, sf_dir, "documents")
+    to = documents_to(documents)
+    docs = documents.select(F.col("doc_id").alias("_doc"), F.col("source"))
+    parts = table(spark, sf_dir, "part").join(docs, F.col("p_partkey") % to == F.col("_doc"))
+    more = lambda column: F.array_compact(F.array(column))
     return parts.select(
         "source",
-        key.cast("string").alias("external_id"),
-        F.lit("m1").alias("model"),
+        F.col("_doc").cast("string").alias("external_id"),
+        F.concat(F.lit("m"), F.floor(key / to).cast("string")).alias("model"),
+        F.floor(key / to).alias("version"),
         case(key % 4, {0: "construcao", 1: "casa", 2: "desconhecida"}).alias("area"),
         F.array_compact(F.array(case(key % 6, {0: "Obras", 1: "decoracao ", 2: "maquinas", 3: "outra"}))).alias("areas"),
         F.array_compact(
@@ -310,34 +323,42 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
         case(key % 5, {0: 3, 1: 6, 2: 40}).alias("min_period"),
         case(key % 17, {0: 2}).alias("min_years"),
         (key % 3 == 0).alias("desirable_exp"),
-        F.when(key % 4 != 1, words).otherwise(none).alias("required_skills"),
+        F.concat(F.when(key % 4 != 1, words).otherwise(none), more(case(key % 10, REQUIRED_PHRASES))).alias("required_skills"),
         F.when(key % 3 == 1, F.array(F.lower("p_type"))).otherwise(none).alias("main_skills"),
-        F.when(key % 5 < 2, F.array(F.element_at(words, 1), F.lit("gear"))).otherwise(none).alias("nice_skills"),
+        F.concat(
+            F.when(key % 5 < 2, F.array(F.element_at(words, 1), F.lit("gear"))).otherwise(none), more(F.when(key % 8 == 0, "JS"))
+        ).alias("nice_skills"),
         case(key % 6, {0: "Remoto", 1: "Híbrido", 2: "presencial"}).alias("mode"),
         F.lit(None).cast("string").alias("catch_alert"),
         case(key % 8, {0: False, 1: True}).alias("read_complete"),
     )
 
 
+def newest_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.newest_extractions(extractions(spark, sf_dir), ["source", "external_id"], "version")
+
+
 EXTRACTIONS_SQL = """v_extractions as (
-  select p_partkey as seq, case p_partkey % 4 when 0 then 'construcao' when 1 then 'casa' end as e_area,
+  select p_partkey % (select max(doc_id) + 1 from documents) as seq, case p_partkey % 4 when 0 then 'construcao' when 1 then 'casa' end as e_area,
     case p_partkey % 6 when 0 then 'obras' when 1 then 'decoracao' when 2 then 'maquinas' end as e_sub,
     p_partkey % 7 as c7, p_partkey % 9 = 0 as any_flag,
     case p_partkey % 5 when 0 then 3 when 1 then 6 end as min_period, p_partkey % 17 = 0 as needs_years,
     p_partkey % 3 = 0 as desirable,
-    case when p_partkey % 4 <> 1 then string_split(p_name, ' ') else []::varchar[] end as required_skills,
+    list_concat(case when p_partkey % 4 <> 1 then string_split(p_name, ' ') else []::varchar[] end,
+      case when p_partkey % 10 < 4 then [(['SQL avançado', 'Python ou red', 'banco de dados', 'Excel e plate'])[(p_partkey % 10) + 1]] else []::varchar[] end) as required_skills,
     case when p_partkey % 3 = 1 then [lower(p_type)] else []::varchar[] end as main_skills,
-    case when p_partkey % 5 < 2 then [string_split(p_name, ' ')[1], 'gear'] else []::varchar[] end as nice_skills,
+    list_concat(case when p_partkey % 5 < 2 then [string_split(p_name, ' ')[1], 'gear'] else []::varchar[] end,
+      case when p_partkey % 8 = 0 then ['JS'] else []::varchar[] end) as nice_skills,
     case p_partkey % 6 when 0 then 'remoto' when 1 then 'hibrido' when 2 then 'presencial' end as e_mode,
     case p_partkey % 8 when 0 then false when 1 then true end as read_complete
-  from part)"""
+  from part qualify row_number() over (partition by p_partkey % (select max(doc_id) + 1 from documents) order by p_partkey desc) = 1)"""
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(profile, posting) pairs the orders table names."""
-    documents_to = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] + 1
+    to = documents_to(table(spark, sf_dir, "documents"))
     return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("p_profile_id"), (F.col("o_orderkey") % documents_to).alias("seq"), "o_orderkey"
+        F.col("o_custkey").alias("p_profile_id"), (F.col("o_orderkey") % to).alias("seq"), "o_orderkey"
     )
 
 
@@ -346,7 +367,7 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = order_pairs(spark, sf_dir)
     named, known = courses(spark, sf_dir), all_skills(spark, sf_dir)
     asked = cut_lineage(
-        scoring.extraction_features(extractions(spark, sf_dir), CATALOG, named, known, ["source", "external_id"])
+        scoring.extraction_features(newest_extractions(spark, sf_dir), CATALOG, named, known, ["source", "external_id"])
     )
     posts = features(spark, sf_dir).drop("tails").join(asked, ["source", "external_id"])
     return pairs.join(posts, "seq").join(people_features(spark, sf_dir, named, known), "p_profile_id")

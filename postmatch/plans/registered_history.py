@@ -495,13 +495,13 @@ def insert_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders.select(
         F.col("o_custkey").alias("p"), (F.col("o_orderkey") % 10).alias("k"), F.col("o_orderkey").alias("token"), "o_orderstatus"
     )
-    current = rows.filter(F.col("o_orderstatus") == "F").groupBy("p", "k").agg(F.min("token").alias("token"))
+    current = rows.filter(F.col("o_orderstatus") != "P").groupBy("p", "k").agg(F.min("token").alias("token"))
     return WR.insert_first_wins(current, rows.filter(F.col("o_orderstatus") != "F"), ["p", "k"], [F.col("token")])
 
 
 @register(
     "replace_scores",
-    """with cur as (select o_custkey as p, o_orderkey % 10 as k, max(o_orderkey) as score from orders where o_orderstatus = 'F' group by 1, 2),
+    """with cur as (select o_custkey as p, o_orderkey % 10 as k, max(o_orderkey) as score from orders where o_orderstatus <> 'P' group by 1, 2),
 new as (select o_custkey as p, o_orderkey % 10 as k, min(o_orderkey) as score from orders where o_orderstatus = 'P' group by 1, 2)
 select p, k, score from new union all select p, k, score from cur c where not exists (select 1 from new n where n.p = c.p and n.k = c.k)""",
 )
@@ -509,7 +509,7 @@ def replace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("p"), (F.col("o_orderkey") % 10).alias("k"), F.col("o_orderkey").alias("score"), "o_orderstatus"
     )
-    current = rows.filter(F.col("o_orderstatus") == "F").groupBy("p", "k").agg(F.max("score").alias("score"))
+    current = rows.filter(F.col("o_orderstatus") != "P").groupBy("p", "k").agg(F.max("score").alias("score"))
     new = rows.filter(F.col("o_orderstatus") == "P").groupBy("p", "k").agg(F.min("score").alias("score"))
     return WR.replace_rows(current, new, ["p", "k"])
 

@@ -13,7 +13,7 @@ from postmatch.plans.registry import register
 
 SCORED_SQL = f"""{M.MATCHING_SQL}, {M.PAIRS_SQL}, {M.EXTRACTIONS_SQL},
 v_joined as (
-  select o.o_orderkey, p.profile_id, p.skills, p.area, p.interest, p.refuses_decoracao, p.disability, p.mode as p_mode, p.period,
+  select o.o_orderkey, p.profile_id, p.skills, p.meets, p.area, p.interest, p.refuses_decoracao, p.disability, p.mode as p_mode, p.period,
     p.is_technical, p.segment, d.exclusive, e.*, coalesce(d.mode, e.e_mode) as mode, {M.NEAR_SQL} as near,
     coalesce(e.read_complete, d.description_complete) as complete,
     case e.e_sub when 'decoracao' then 'casa' when 'obras' then 'construcao' when 'maquinas' then 'construcao' end as e_field,
@@ -22,10 +22,10 @@ v_joined as (
   join v_extractions e on e.seq = o.seq),
 v_covered as (
   select *,
-    (1 + len(list_intersect(list_distinct(required_skills), skills))) / (1 + nullif(len(list_distinct(required_skills)), 0)) as r,
-    (1 + len(list_intersect(list_distinct(main_skills), skills))) / (1 + nullif(len(list_distinct(main_skills)), 0)) as m,
-    (1 + len(list_intersect(list_distinct(nice_skills), skills))) / (1 + nullif(len(list_distinct(nice_skills)), 0)) as n,
-    len(list_intersect(list_concat(required_skills, main_skills, nice_skills), skills)) > 0 as some_met
+    (1 + len(list_intersect(list_distinct(required_skills), meets))) / (1 + nullif(len(list_distinct(required_skills)), 0)) as r,
+    (1 + len(list_intersect(list_distinct(main_skills), meets))) / (1 + nullif(len(list_distinct(main_skills)), 0)) as m,
+    (1 + len(list_intersect(list_distinct(nice_skills), meets))) / (1 + nullif(len(list_distinct(nice_skills)), 0)) as n,
+    len(list_intersect(list_concat(required_skills, main_skills, nice_skills), meets)) > 0 as some_met
   from v_joined),
 v_parts as (
   select *, case when some_met then weighted else least(weighted, 0.25::double) end as skill_part,
@@ -96,9 +96,9 @@ def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "explain_requirements",
     f"""with {SCORED_SQL}, n as (select *, list_distinct(list_concat(required_skills, main_skills)) as needed from v_joined)
-select o_orderkey, list_sort(list_distinct(list_concat(list_intersect(needed, skills), list_intersect(nice_skills, skills)))) as requirements_met,
-  list_sort(list_filter(needed, lambda x: not list_contains(skills, x))) as requirements_unmet,
-  list_sort(list_distinct(list_filter(nice_skills, lambda x: not list_contains(skills, x) and not list_contains(needed, x)))) as nice_unmet from n""",
+select o_orderkey, list_sort(list_distinct(list_concat(list_intersect(needed, meets), list_intersect(nice_skills, meets)))) as requirements_met,
+  list_sort(list_filter(needed, lambda x: not list_contains(meets, x))) as requirements_unmet,
+  list_sort(list_distinct(list_filter(nice_skills, lambda x: not list_contains(meets, x) and not list_contains(needed, x)))) as nice_unmet from n""",
 )
 def explain_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = ("requirements_met", "requirements_unmet", "nice_unmet")
@@ -205,10 +205,10 @@ def delivered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "digest_rows",
     f"""with {SCORED_SQL} select o_orderkey, score, len(string_split(r_block, chr(10))) as lines from (select o_orderkey, score,
   '<b>1. x</b>' || chr(10) || 'place' || chr(10) || 'source' || chr(10) || 'score'
-  || case when len(list_intersect(list_concat(required_skills, main_skills, nice_skills), skills)) > 0 then chr(10) || 'met' else '' end
-  || case when len(list_filter(list_concat(required_skills, main_skills), lambda x: not list_contains(skills, x))) > 0 then chr(10) || 'unmet' else '' end
-  || case when len(list_filter(nice_skills, lambda x: not list_contains(skills, x) and not list_contains(list_concat(required_skills, main_skills), x))) > 0 then chr(10) || 'nice' else '' end
-  || case when complete and len(list_intersect(list_concat(required_skills, main_skills, nice_skills), skills)) = 0 and len(required_skills) + len(main_skills) = 0 then chr(10) || 'silent' else '' end
+  || case when len(list_intersect(list_concat(required_skills, main_skills, nice_skills), meets)) > 0 then chr(10) || 'met' else '' end
+  || case when len(list_filter(list_concat(required_skills, main_skills), lambda x: not list_contains(meets, x))) > 0 then chr(10) || 'unmet' else '' end
+  || case when len(list_filter(nice_skills, lambda x: not list_contains(meets, x) and not list_contains(list_concat(required_skills, main_skills), x))) > 0 then chr(10) || 'nice' else '' end
+  || case when complete and len(list_intersect(list_concat(required_skills, main_skills, nice_skills), meets)) = 0 and len(required_skills) + len(main_skills) = 0 then chr(10) || 'silent' else '' end
   || case when priority or (course_level = 'compativel' and (c7 <= 3 or any_flag)) then chr(10) || 'for' else '' end
   || case when needs_years then chr(10) || 'against' else '' end
   || repeat(chr(10) || 'notice', (case when (refuses_decoracao and e_sub is not distinct from 'decoracao') or (interest_part = 0 and interest is not null) then 1 else 0 end

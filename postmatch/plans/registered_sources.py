@@ -77,14 +77,14 @@ def recent_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "source_union_status",
-    """select lang as source, 'ok' as state, count(*) as rows, min(doc_id) as first from documents where lang in ('en', 'fr') group by 1
+    """select lang as source, 'ok' as state, count(*) as rows, min(doc_id) as first from documents where lang in ('en', 'fr', 'es') group by 1
 union all select 'de', 'partial', count(*), min(doc_id) from documents where lang = 'de' union all select 'xx', 'failed', 0, null""",
 )
 def source_union_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents")
     collected = {
         lang: docs.filter(F.col("lang") == lang).select(F.lit(lang).alias("source"), F.col("doc_id").alias("seq"))
-        for lang in ("en", "fr", "de")
+        for lang in ("en", "fr", "de", "es")
     }
     rows, status = tables.union_sources({**collected, "xx": None}, {"de": "page 3", "xx": "down"})
     counted = rows.groupBy("source").agg(
