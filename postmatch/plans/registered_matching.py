@@ -118,18 +118,7 @@ select distinct a.seq from v_documents a join v_documents b on a.ad_key = b.ad_k
 )
 def similar_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents similar to an earlier one of their block: the pairs are never emitted."""
-    docs = M.compared_documents(spark, sf_dir)
-    word = F.explode(dedup.prefix_words(F.col("words"))).alias("word")
-    enough = F.size("words") >= 20
-    left = docs.filter(enough).select("*", word).alias("a")
-    right = docs.filter(enough).select("*", word).alias("b")
-    on = (
-        (F.col("a.ad_key") == F.col("b.ad_key"))
-        & (F.col("a.word") == F.col("b.word"))
-        & (F.col("a.seq") > F.col("b.seq"))
-        & dedup.similar(F.col("a.words"), F.col("b.words"))
-    )
-    return left.join(right, on, "left_semi").select("seq").distinct()
+    return dedup.similar_to_earlier(M.compared_documents(spark, sf_dir)).select("seq")
 
 
 # places and rules -----------------------------------------------------------------------------------
