@@ -9,6 +9,8 @@ its shingles that comes first in one global order, frequent shingles last; simil
 is then skipped by relations between sets:
 - each list has a pivot, and every member is compared with the pivot first. Members that link to it are
   in one component, so their answers need no further pair among themselves;
+- members that do not are compared with a few members of the list's largest component, in turns, and once
+  one of them links, the others' answers hold for it too;
 - what is left of a list is cut into blocks by position. Whole block pairs are skipped by the bounds of
   sizes and positions, and where both lie in one component;
 - a pair is derived from the pivot where possible: the Jaccard distance is a metric, so two sets whose
@@ -39,6 +41,8 @@ FREQUENT_PER_PIECE = 3
 #: Bound of the broadcast list of frequent shingles; it only sets the order, so any list gives the same links.
 MAX_FREQUENT = 500_000
 BLOCK_ROWS = 64
+#: Turns in which members ask others of their list's largest component, how many each, and the bucket of one answer.
+TURNS, PARTNERS, BUCKET_ROWS = 3, 3, 8
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FOLD = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -194,9 +198,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(bound, "x long, y long, nx long, ny long, least long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, y, common, nx, ny) of the pairs (x, y) whose exact similarity links them."""
-    named = pairs.select(F.col("x").alias("f")).union(pairs.select("y")).distinct()
+def _tokens(named: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(f, tokens) of the named classes."""
     owners = classes.join(named, "f", "left_semi").select("f", "_doc")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +209,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFra
             yield arrow_rows(f=pa.array([r[0] for r in rows], pa.int64()), tokens=pa.array([r[1] for r in rows], pa.binary()))
 
     held = texts.withColumn("_doc", F.coalesce("doc_id", F.lit(-1))).join(owners, "_doc").select("f", "text").mapInArrow(tokens, "f long, tokens binary")
-    held = stored(held.groupBy("f").agg(F.min("tokens").alias("tokens")))
+    return stored(held.groupBy("f").agg(F.min("tokens").alias("tokens")))
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(x, y, common, nx, ny) of the pairs (x, y) whose exact similarity links them; `held` has their tokens."""
     both = pairs.join(held.select(F.col("f").alias("x"), F.col("tokens").alias("tx")), "x").join(
         held.select(F.col("f").alias("y"), F.col("tokens").alias("ty")), "y"
     )
@@ -227,6 +234,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFra
     return both.select("x", "y", "tx", "ty").mapInArrow(judged, "x long, y long, common long, nx long, ny long")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+
+
+def _open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, with the largest one as `home`."""
+    placed = _rooted(entries, roots)
+    sizes = placed.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("m"))
+    homes = sizes.groupBy("tok").agg(F.max(F.struct("m", "root")).alias("h"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return placed.join(homes.select("tok", F.col("h.root").alias("home")), "tok")
+
+
+def _asked(members: DataFrame, turn: int) -> DataFrame:
+    """(x, y): each member outside its list's largest component with a few members of it, others in each list and turn.
+
+    The largest component of a list is dealt to buckets by hash; a bucket's smallest hash answers for it.
+    """
+    buckets, salt = F.ceil(F.col("c") / BUCKET_ROWS), F.lit(turn)
+    inside = members.filter(F.col("root") == F.col("home")).withColumn("bucket", F.pmod(F.xxhash64("f", salt), buckets))
+    answering = inside.groupBy("tok", "bucket").agg(F.min(F.struct(F.xxhash64("f", "tok", salt).alias("h"), "f", "n", "i")).alias("p"))
+    draws = F.array(*[F.pmod(F.xxhash64("f", "tok", salt, F.lit(k)), buckets) for k in range(PARTNERS)])
+    outside = members.filter(F.col("root") != F.col("home")).withColumn("bucket", F.explode(F.array_distinct(draws)))
+    met = outside.join(answering, ["tok", "bucket"]).filter(_possible(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i")))
+    return met.select(F.least("f", "p.f").alias("x"), F.greatest("f", "p.f").alias("y")).distinct()
+
+
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links; only the components that they join are walked."""
+    ends = links.select(F.col("x").alias("f")).union(links.select("y")).distinct()
+    known = roots.unionByName(ends.select(F.col("f").alias("node"), F.col("f").alias("root")).join(roots, "node", "left_anti"))
+    of = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
+    edges = links.join(of("x"), "x").join(of("y"), "y").filter("rx <> ry").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("moved"))
+    return stored(known.join(moved, "root", "left").select("node", F.coalesce("moved", "root").alias("root")))
+
+
 def _distance(inter, nx, ny):
     return 1 - inter / (nx + ny - inter)
 
@@ -252,19 +295,36 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = met.select(F.col("f").alias("x"), F.col("p.f").alias("y")).distinct()
     bounds = stored(_bounded(first, classes))
     near = bounds.filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y")
-    links = stored(_verified(near, texts, classes))
+    named = near.select(F.col("x").alias("f")).union(near.select("y")).distinct()
+    links = stored(_verified(near, _tokens(named, texts, classes)))
     roots = stored(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
+    # Members that did not link to their list's pivot ask others of its largest component, in a few turns: most
+    # members at the edge of a family link to some of it, and then need no pair with the rest. What the turns leave is compared below.
+    entries = lists.join(pivots.select("tok", "c"), "tok")
+    members = stored(_open_lists(entries, roots))
+    held = _tokens(members.select("f").distinct(), texts, classes)
+    later, tested = [], first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    for turn in range(TURNS):
+        asked = stored(_asked(members, turn).join(tested, ["x", "y"], "left_anti"))
+        tested = tested.unionByName(asked)
+        likely = _bounded(asked, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y")
+        later.append(stored(_verified(likely, held)))
+        if later[-1].isEmpty():
+            break
+        roots = _joined_roots(roots, later[-1])
+        members = stored(_open_lists(entries.join(members.select("tok").distinct(), "tok", "left_semi"), roots))
+
     # What is left of each list: members of different components, the pivot apart, with a lower bound of
     # their distance to the pivot and, for linked ones, the distance itself.
     least = (F.col("nx") + F.col("ny") - F.col("least")) / 2
     far = bounds.select("x", "y", _distance(least, F.col("nx"), F.col("ny")).alias("low"))
     known = links.select("x", "y", _distance(F.col("common"), F.col("nx"), F.col("ny")).alias("high"))
     seen = stored(far.join(known, ["x", "y"], "left"))
-    member = lists.join(pivots.select("tok", F.col("p.f").alias("y"), "c"), "tok").filter(F.col("f") != F.col("y"))
-    member = member.join(roots.withColumnRenamed("node", "f"), "f", "left").join(seen.withColumnRenamed("x", "f"), ["f", "y"], "left")
+    member = members.drop("home").join(pivots.select("tok", F.col("p.f").alias("y")), "tok").filter(F.col("f") != F.col("y"))
+    member = member.join(seen.withColumnRenamed("x", "f"), ["f", "y"], "left")
     member = member.select(
-        "tok", "c", "f", "n", "i", F.coalesce("root", "f").alias("root"),
+        "tok", "c", "f", "n", "i", "root",
         F.coalesce("high", "low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"),
     )
     open_lists = member.groupBy("tok").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter(F.col("_a") != F.col("_b"))
@@ -294,8 +354,9 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met_in = F.transform("l_rows", lambda p: F.transform(F.filter("rows", lambda q: open_pair(p, q)), lambda q: named(p, q)))
     other = block_pairs.select(F.explode_outer(F.flatten(met_in)).alias("e")).select("e.*").filter(F.col("x").isNotNull()).distinct()
     last = stored(_bounded(other, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y"))
-    more = stored(_verified(last, texts, classes))
-    return rows, classes, links.unionByName(more)
+    for more in (*later, stored(_verified(last, held))):
+        links = links.unionByName(more)
+    return rows, classes, links
 
 
 def rooted(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,12 +384,12 @@ def one_per_component(documents: DataFrame) -> DataFrame:
     rows, own = rooted(documents)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("t").alias("_t"))
     first = rows.join(own.select("f", "root"), "f").groupBy("root").agg(F.min(order).alias("o"))
-    kept = first.select("o._k", "o._t").union(rows.filter(F.col("f").isNull()).select(F.coalesce("doc_id", F.lit(-1)), "t")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = documents.select(
         F.struct(*documents.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"),
-        F.xxhash64(text).alias("_t"), (~text.rlike(r"[^\x20\x09-\x0D]")).alias("_blank"),
+        F.xxhash64(text).alias("_t"), text.rlike(r"[^\x20\x09-\x0D]").alias("_worded"),
     )
     again = F.row_number().over(W.partitionBy("_k", "_t").orderBy(F.lit(0)))
-    found = keyed.join(kept, ["_k", "_t"], "left_semi").withColumn("_n", again)
-    return found.filter((F.col("_n") == 1) | F.col("_blank")).select("_row.*")
+    found = keyed.filter("_worded").join(first.select("o._k", "o._t"), ["_k", "_t"], "left_semi").withColumn("_n", again).filter("_n = 1")
+    # Blank texts are told apart by nothing and all stay, so they meet in no window.
+    return found.select("_row.*").unionByName(keyed.filter(~F.col("_worded")).select("_row.*"))
