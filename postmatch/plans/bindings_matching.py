@@ -178,6 +178,57 @@ def rule_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as collected postings whose title, place and rules follow from the text's first words, so that
+    copies of a text are copies of a posting."""
+    doc, opening = F.col("doc_id"), F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 3))
+    size = F.length(opening)
+    city = size % 25
+    parts = [case(size % len(PREFIXES), dict(enumerate(PREFIXES))), case(size % len(FIELDS), dict(enumerate(FIELDS))), opening]
+    return table(spark, sf_dir, "documents").select(
+        doc.alias("seq"),
+        RUN_SOURCE(doc).alias("source"),
+        doc.cast("string").alias("external_id"),
+        F.concat_ws(" ", *parts).alias("title"),
+        F.when(doc % 6 == 0, "Confidencial").otherwise(F.col("source")).alias("company"),
+        _location(city, case(city % 5, STATE_OF)).alias("location"),
+        F.concat(F.lit("City "), city.cast("string")).alias("municipality"),
+        F.concat("text", case(size % len(ENDINGS), dict(enumerate(ENDINGS)))).alias("description"),
+        F.concat(F.lit("https://posts.example.com/"), doc.cast("string")).alias("url"),
+        case(doc % 13, {0: "remoto", 1: "presencial", 2: "hibrido"}).alias("mode"),
+        (doc % 5 != 0).alias("description_complete"),
+        F.timestamp_add("DAY", (doc % 30).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("published_at"),
+        F.struct(
+            F.when(doc % 50 == 3, " Emprego ").alias("partner"),
+            F.when(doc % 40 == 0, "79986").when(doc % 3 == 0, "x").alias("partner_id"),
+            case(doc % 60, {7: "jobs.gupy.io", 8: "LinkedIn.com", 9: "notgupy.io"}).alias("domain"),
+        ).alias("origin"),
+    )
+
+
+def RUN_SOURCE(doc: Column) -> Column:  # noqa: N802
+    return case(doc % 4, {0: "adzuna", 1: "gupy", 2: "jooble"}, "outra")
+
+
+RUN_SQL = f"""v_run_postings as (
+  select *, {key_sql('title')} as title_key, {key_sql('company')} as company_key, {key_sql('description')} as text_key, {words_sql('description')} as words,
+    {key_sql("regexp_replace(" + fold_sql('title') + ", '\\s*-\\s*(?:vaga(?: aberta)?|recrutamento aberto)\\s*$', '')")} || '|City ' || city as ad_key,
+    f in ('Building', 'Machinery', 'Obra') as t_construcao, f in ('Household', 'Furniture') as t_casa,
+    f in ('Building', 'Machinery') as x_construcao, f in ('Household', 'Furniture') as x_casa,
+    e = 3 as d_construcao, e = 7 as d_casa, e = 0 as any_course, e = 5 as cites_automobile,
+    p = 8 as not_internship, p = 3 as seniority, p = 6 as postgrad, p = 5 as high_school, p = 4 as technical,
+    p = 7 as exclusive, e = 1 as years, case when mode is not null then mode = 'remoto' else e = 2 end as admits_remote
+  from (select *, {list(PREFIXES)}[p + 1] || ' ' || f || ' ' || opening as title, raw || {list(ENDINGS)}[e + 1] as description
+    from (select doc_id as seq, doc_id::varchar as external_id, text as raw, opening, length(opening) % 9 as p, length(opening) % 11 as e,
+      {list(FIELDS)}[(length(opening) % 7) + 1] as f, length(opening) % 25 as city,
+      case doc_id % 4 when 0 then 'adzuna' when 1 then 'gupy' when 2 then 'jooble' else 'outra' end as source,
+      case when doc_id % 6 = 0 then 'Confidencial' else source end as company,
+      case doc_id % 13 when 0 then 'remoto' when 1 then 'presencial' when 2 then 'hibrido' end as mode, doc_id % 5 <> 0 as description_complete
+      from (select *, array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 3), ' ') as opening from documents)))),
+v_unblocked as (select * from v_run_postings where not (seq % 40 = 0 or seq % 50 = 3 or seq % 60 in (7, 8))
+  and not (seq % 4 = 0 and seq % 50 <> 3 and seq % 40 <> 0 and seq % 3 <> 0 and seq % 60 not in (7, 8, 9)))"""
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, regions = places(spark, sf_dir)
     located = identify_municipality(rule_postings(spark, sf_dir), "location", states, regions)

@@ -88,6 +88,16 @@ def drop_closed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_closed(docs, closed, ["seq"]).select("seq")
 
 
+#: One row after the other joins the first slot of its block that it is similar to, or opens one.
+FOLD_STEP_SQL = """select ad_key, k, case when hit is null then list_append(slots, {'words': words, 'rank': rank, 'position': seq, 'winner': seq})
+    when rank > slots[hit].rank then list_concat(list_append(slots[1:hit - 1], {'words': words, 'rank': rank, 'position': slots[hit].position, 'winner': seq}), slots[hit + 1:])
+    else slots end
+  from (select f.ad_key, t.k, f.slots, t.words, t.rank, t.seq,
+      list_position(list_transform(f.slots, lambda s: len(s.words) >= 20 and len(t.words) >= 20
+        and len(list_intersect(s.words, t.words)) / (len(s.words) + len(t.words) - len(list_intersect(s.words, t.words))) >= 0.8), true) as hit
+    from fold f join t on t.ad_key = f.ad_key and t.k = f.k + 1)"""
+
+
 @register(
     "dedupe_near_greedy",
     f"""with recursive {M.DOCUMENTS_SQL},
@@ -96,13 +106,7 @@ t as (select *, row_number() over (partition by ad_key order by seq) as k, (mode
 fold as (
   select ad_key, 0::bigint as k, []::struct(words varchar[], rank bigint, position bigint, winner bigint)[] as slots from t group by ad_key
   union all
-  select ad_key, k, case when hit is null then list_append(slots, {{'words': words, 'rank': rank, 'position': seq, 'winner': seq}})
-    when rank > slots[hit].rank then list_concat(list_append(slots[1:hit - 1], {{'words': words, 'rank': rank, 'position': slots[hit].position, 'winner': seq}}), slots[hit + 1:])
-    else slots end
-  from (select f.ad_key, t.k, f.slots, t.words, t.rank, t.seq,
-      list_position(list_transform(f.slots, lambda s: len(s.words) >= 20 and len(t.words) >= 20
-        and len(list_intersect(s.words, t.words)) / (len(s.words) + len(t.words) - len(list_intersect(s.words, t.words))) >= 0.8), true) as hit
-    from fold f join t on t.ad_key = f.ad_key and t.k = f.k + 1)),
+  {FOLD_STEP_SQL}),
 last as (select ad_key, unnest(slots) as s from fold qualify k = max(k) over (partition by ad_key))
 select s.position as position, d.source, d.external_id, replace(d.ad_key, '|City', chr(1) || 'City') as ad_key from last join v_documents d on d.seq = s.winner""",
 )

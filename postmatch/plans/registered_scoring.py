@@ -11,8 +11,7 @@ from postmatch.plans import bindings as B
 from postmatch.plans import bindings_matching as M
 from postmatch.plans.registry import register
 
-SCORED_SQL = f"""{M.MATCHING_SQL}, {M.PAIRS_SQL}, {M.EXTRACTIONS_SQL},
-v_joined as (
+SCORE_STEPS_SQL = f"""v_joined as (
   select o.o_orderkey, p.profile_id, p.skills, p.meets, p.area, p.interest, p.refuses_decoracao, p.disability, p.mode as p_mode, p.period,
     p.is_technical, p.segment, d.exclusive, e.*, coalesce(d.mode, e.e_mode) as mode, {M.NEAR_SQL} as near,
     coalesce(e.read_complete, d.description_complete) as complete,
@@ -57,9 +56,10 @@ v_final as (
     least(least(base, case when mode in ('presencial', 'hibrido') and (p_mode = 'remoto' or (p_mode <> 'presencial' and near = 'distante')) then 30 else 100 end),
       case when complete then 100 else 60 end) as score from v_scored)"""
 for slot, column in (("{c}", "course_level"), ("{a}", "area_level"), ("{p}", "period_level")):
-    SCORED_SQL = SCORED_SQL.replace(
+    SCORE_STEPS_SQL = SCORE_STEPS_SQL.replace(
         slot, f"(case {column} when 'compativel' then 1.0::double when 'parcial' then 0.5::double else 0.0::double end)"
     )
+SCORED_SQL = f"{M.MATCHING_SQL}, {M.PAIRS_SQL}, {M.EXTRACTIONS_SQL}, {SCORE_STEPS_SQL}"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +105,7 @@ def explain_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("o_orderkey", *[F.array_sort(c).alias(c) for c in lists])
 
 
-@register(
-    "notices",
-    f"""with {SCORED_SQL} select o_orderkey, list_filter([
+NOTICES_SQL = """select o_orderkey, list_filter([
   case when refuses_decoracao and e_sub is not distinct from 'decoracao' then 'Área que você recusou nos últimos dias: Decoração'
     when interest_part = 0 and interest is not null then 'Fora das suas áreas de interesse' end,
   case when not any_flag and c7 = 2 and not is_technical then 'Vaga para estudantes de curso técnico'
@@ -120,8 +118,10 @@ def explain_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
   list_filter([case when priority then 'Vaga exclusiva para PCD' end,
     case when course_level = 'compativel' and (c7 <= 3 or any_flag) then 'Curso compatível' end], lambda x: x is not null) as points_for,
   case when needs_years then ['Exige experiência prévia'] else []::varchar[] end as points_against
-from (select *, least(base, case when mode in ('presencial', 'hibrido') and (p_mode = 'remoto' or (p_mode <> 'presencial' and near = 'distante')) then 30 else 100 end) as score_after from v_final)""",
-)
+from (select *, least(base, case when mode in ('presencial', 'hibrido') and (p_mode = 'remoto' or (p_mode <> 'presencial' and near = 'distante')) then 30 else 100 end) as score_after from v_final)"""
+
+
+@register("notices", f"with {SCORED_SQL} {NOTICES_SQL}")
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("o_orderkey", "notices", "points_for", "points_against")
 
