@@ -41,8 +41,9 @@ FREQUENT_PER_PIECE = 3
 #: Bound of the broadcast list of frequent shingles; it only sets the order, so any list gives the same links.
 MAX_FREQUENT = 500_000
 BLOCK_ROWS = 64
-#: Turns in which members ask others of their list's largest component, how many each, and the bucket of one answer.
-TURNS, PARTNERS, BUCKET_ROWS = 3, 3, 8
+#: Turns in which members ask others of their list's largest component, how many each, the bucket of one answer, and
+#: from what size of that component on it saves work.
+TURNS, PARTNERS, BUCKET_ROWS, CROWD = 3, 3, 8, 16
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FOLD = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -234,16 +235,20 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.select("x", "y", "tx", "ty").mapInArrow(judged, "x long, y long, common long, nx long, ny long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("f")).union(pairs.select("y")).distinct()
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
 
 
-def _open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components, with the largest one as `home`."""
-    placed = _rooted(entries, roots)
-    sizes = placed.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("m"))
-    homes = sizes.groupBy("tok").agg(F.max(F.struct("m", "root")).alias("h"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    return placed.join(homes.select("tok", F.col("h.root").alias("home")), "tok")
+def _crowded_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the lists whose largest component, `home`, has `CROWD` members or more."""
+    linked = lists.join(roots.withColumnRenamed("node", "f"), "f")
+    sizes = linked.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= CROWD)
+    homes = sizes.groupBy("tok").agg(F.max(F.struct("m", "root")).alias("h")).select("tok", F.col("h.root").alias("home"))
+    return stored(_rooted(lists.join(homes, "tok"), roots))
 
 
 def _asked(members: DataFrame, turn: int) -> DataFrame:
@@ -295,25 +300,24 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = met.select(F.col("f").alias("x"), F.col("p.f").alias("y")).distinct()
     bounds = stored(_bounded(first, classes))
     near = bounds.filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y")
-    named = near.select(F.col("x").alias("f")).union(near.select("y")).distinct()
-    links = stored(_verified(near, _tokens(named, texts, classes)))
+    links = stored(_verified(near, _tokens(_ends(near), texts, classes)))
     roots = stored(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     # Members that did not link to their list's pivot ask others of its largest component, in a few turns: most
     # members at the edge of a family link to some of it, and then need no pair with the rest. What the turns leave is compared below.
-    entries = lists.join(pivots.select("tok", "c"), "tok")
-    members = stored(_open_lists(entries, roots))
-    held = _tokens(members.select("f").distinct(), texts, classes)
-    later, tested = [], first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    members = _crowded_lists(lists, roots).join(pivots.select("tok", "c"), "tok")
+    later, tested = [], bounds.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     for turn in range(TURNS):
         asked = stored(_asked(members, turn).join(tested, ["x", "y"], "left_anti"))
         tested = tested.unionByName(asked)
-        likely = _bounded(asked, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y")
-        later.append(stored(_verified(likely, held)))
+        likely = stored(_bounded(asked, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y"))
+        if likely.isEmpty():
+            break
+        later.append(stored(_verified(likely, _tokens(_ends(likely), texts, classes))))
         if later[-1].isEmpty():
             break
         roots = _joined_roots(roots, later[-1])
-        members = stored(_open_lists(entries.join(members.select("tok").distinct(), "tok", "left_semi"), roots))
+        members = _crowded_lists(members.drop("root", "home"), roots)
 
     # What is left of each list: members of different components, the pivot apart, with a lower bound of
     # their distance to the pivot and, for linked ones, the distance itself.
@@ -321,8 +325,8 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     far = bounds.select("x", "y", _distance(least, F.col("nx"), F.col("ny")).alias("low"))
     known = links.select("x", "y", _distance(F.col("common"), F.col("nx"), F.col("ny")).alias("high"))
     seen = stored(far.join(known, ["x", "y"], "left"))
-    member = members.drop("home").join(pivots.select("tok", F.col("p.f").alias("y")), "tok").filter(F.col("f") != F.col("y"))
-    member = member.join(seen.withColumnRenamed("x", "f"), ["f", "y"], "left")
+    member = lists.join(pivots.select("tok", F.col("p.f").alias("y"), "c"), "tok").filter(F.col("f") != F.col("y"))
+    member = _rooted(member, roots).join(seen.withColumnRenamed("x", "f"), ["f", "y"], "left")
     member = member.select(
         "tok", "c", "f", "n", "i", "root",
         F.coalesce("high", "low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"),
@@ -354,7 +358,7 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met_in = F.transform("l_rows", lambda p: F.transform(F.filter("rows", lambda q: open_pair(p, q)), lambda q: named(p, q)))
     other = block_pairs.select(F.explode_outer(F.flatten(met_in)).alias("e")).select("e.*").filter(F.col("x").isNotNull()).distinct()
     last = stored(_bounded(other, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y"))
-    for more in (*later, stored(_verified(last, held))):
+    for more in (*later, stored(_verified(last, _tokens(_ends(last), texts, classes)))):
         links = links.unionByName(more)
     return rows, classes, links
 
