@@ -57,25 +57,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
-def _notices_sql() -> str:
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in licenses.NOTICES)
+def _templates_sql() -> str:
+    """The scan with all templates in the text of the query."""
+    rows = ", ".join(f"('{name}', '{text.replace(chr(39), 2 * chr(39))}')" for name, text in licenses.template_rows())
     words = r"""list_filter(list_transform(string_split(lower(regexp_replace({t}, '[\x09-\x0D\x20]+', ' ', 'g')), ' '),
         lambda w: regexp_replace(regexp_replace(w, '^[\pP\pS]+', ''), '[\pP\pS]+$', '')), lambda w: w <> '')"""
     grams = """list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1),
         lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))"""
     return f"""
     with t as (select license_id, {words.format(t="txt")} as w from (values {rows}) v(license_id, txt)),
-    tg as (select license_id, {grams} as g from t),
+    tg as (select license_id, row_number() over () as template, {grams} as g from (select distinct license_id, w from t) where len(w) > 0),
     d as (select row_number() over () as r, doc_id, {words.format(t="text")} as w from documents),
     dg as (select r, doc_id, unnest({grams}) as g from d where len(w) > 0),
-    hit as (select r, doc_id, license_id, count(*) as n from dg
-            join (select license_id, unnest(g) as g from tg) using (g) group by all)
-    select doc_id, license_id, n / len(g) as containment from hit join tg using (license_id)
-    where n / len(g) >= 0.75
+    hit as (select r, doc_id, license_id, template, size, count(*) as n from dg
+            join (select license_id, template, len(g) as size, unnest(g) as g from tg) using (g) group by all)
+    select doc_id, license_id, max(n / size) as containment from hit where n / size >= 0.75 group by r, doc_id, license_id
     """
 
 
-@register("op3_licenses", _notices_sql())
+@register("op3_licenses", _templates_sql())
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"), licenses.license_templates(spark))
     return found.select("doc_id", "license_id", "containment")

@@ -40,6 +40,35 @@ def test_license_of_many_words(documents, spark):
     assert [(r["doc_id"], r["license_id"]) for r in rows] == [(0, "L")]
 
 
+def counted_whole(texts, templates, least=0.75):
+    """Every text against every template: the share of distinct shingles."""
+    import re
+
+    def grams(text):
+        plain = re.sub(r"[\x09-\x0D\x20]+", " ", text or "").lower()
+        words = [w for w in (re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in plain.split(" ")) if w]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    held = [grams(t) for t in texts]
+    wanted = [(name, grams(t)) for name, t in templates]
+    return {(i, name) for i, h in enumerate(held) for name, g in wanted if g and len(h & g) >= least * len(g)}
+
+
+def test_windows_retrieve_near_copies_at_the_bar(documents, spark):
+    rng = random.Random(12)
+    prose = lambda n: [f"p{rng.randint(0, 10**6)}" for _ in range(n)]
+    templates = [(f"L{i}", " ".join(prose(rng.choice([3, 5, 9, 40, 100, 131, 140, 200, 600])))) for i in range(60)]
+    texts = []
+    for _, text in templates:
+        for every in (15, 20, 21, 24, 40):  # at 20 about 3/4 of the shingles are left
+            words, shift = text.split(), rng.randint(0, 40)
+            words = [w if (i + 1) % every else "changed" for i, w in enumerate(words)]
+            texts.append(" ".join(prose(shift) + words + prose(rng.randint(0, 60))))
+    want = counted_whole(texts, templates)
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan(documents(texts), licenses.notice_templates(spark, templates)).collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.999 * len(want)
+
+
 def changed(text, every):
     return " ".join("changed" if i % every == 0 else w for i, w in enumerate(text.split(), 1))
 
