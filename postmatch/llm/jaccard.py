@@ -67,7 +67,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return scramble(total), begin
 
 
-def sets_of(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def sets_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text of a column."""
     raw, offsets = utf8(column)
     for x, y in pieces(offsets, limit):
@@ -110,23 +110,38 @@ def prefix_order(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) ->
     return tokens[:count]
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur within parts of the table, and their rank by frequency."""
+def _read(texts: DataFrame) -> DataFrame:
+    """Both tables of the first reading in one: rows (doc_id, t, f, n, bits), where f is null without shingles and t
+    a hash of the text, and (tok, c) of the shingles that recur within parts of the table, with a null t."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            f, n, bits, held = [], [], [], []
             seen: set[int] = set()
-            held = []
             for _, tokens in sets_of(batch.column("text")):
-                if len(tokens) and (name := fingerprint(tokens)) not in seen:
-                    seen.add(name)
+                n.append(len(tokens))
+                f.append(fingerprint(tokens) if len(tokens) else None)
+                bits.append(parity_bits(tokens) if len(tokens) else None)
+                if len(tokens) and f[-1] not in seen:
+                    seen.add(f[-1])
                     held.append(tokens)
-            if held:
-                values, n = np.unique(np.concatenate(held), return_counts=True)
-                often = n >= FREQUENT_PER_PIECE
-                yield arrow_rows(tok=values[often].view(np.int64), c=n[often])
-
-    sums = texts.select("text").mapInArrow(counted, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
+            values, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            del held
+            values, c = values[c >= FREQUENT_PER_PIECE].view(np.int64), c[c >= FREQUENT_PER_PIECE]
+            none = [None] * len(values)
+            blank = pa.nulls(len(f), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([batch.column("doc_id"), pa.nulls(len(none), pa.int64())]), pa.concat_arrays([batch.column("t"), pa.nulls(len(none), pa.int64())]),
+                pa.array(f + none, pa.int64()), pa.array(n + none, pa.int64()), pa.array(bits + none, pa.binary()),
+                pa.concat_arrays([blank, pa.array(values, pa.int64())]), pa.concat_arrays([blank, pa.array(c, pa.int64())]),
+            ], ["doc_id", "t", "f", "n", "bits", "tok", "c"])
+
+    return stored(texts.mapInArrow(named, "doc_id long, t long, f long, n long, bits binary, tok long, c long"))
+
+
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Recurring shingles, and their rank by frequency."""
+    sums = counted.groupBy("tok").agg(F.sum("c").alias("c"))
     top = sums.orderBy(F.col("c").desc(), "tok").limit(MAX_FREQUENT).toPandas()
     tokens = top["tok"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -134,21 +149,6 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rank[order]
 
 
-def _classes(texts: DataFrame) -> DataFrame:
-    """(doc_id, t, f, n, bits) of every row; f is null without shingles, t is a hash of the text."""
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f, n, bits = [], [], []
-            for _, tokens in sets_of(batch.column("text")):
-                n.append(len(tokens))
-                f.append(fingerprint(tokens) if len(tokens) else None)
-                bits.append(parity_bits(tokens) if len(tokens) else None)
-            yield arrow_rows(doc_id=batch.column("doc_id"), t=batch.column("t"), f=pa.array(f, pa.int64()), n=pa.array(n, pa.int64()), bits=pa.array(bits, pa.binary()))
-
-    return texts.mapInArrow(named, "doc_id long, t long, f long, n long, bits binary")
-
-
 def _prefixes(texts: DataFrame, frequent: np.ndarray, place: np.ndarray, names: bool) -> DataFrame:
     """(tok, f, n, i) of all prefix shingles, or only (tok, c) counted per batch."""
 
@@ -286,9 +286,10 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    rows = stored(_classes(texts))
+    read = _read(texts)
+    rows = read.filter("t is not null").select("doc_id", "t", "f", "n", "bits")
     classes = stored(rows.filter(F.col("f").isNotNull()).groupBy("f").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("_doc"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")))
-    frequent, place = _frequent(texts)
+    frequent, place = _frequent(read.filter("t is null").select("tok", "c"))
     shared = _prefixes(texts, frequent, place, False).groupBy("tok").agg(F.sum("c").alias("c")).filter(F.col("c") > 1)
     shared = stored(shared.select("tok"))  # a table, so that Spark can split a hot shingle's rows in the join
     lists = stored(_prefixes(texts, frequent, place, True).join(shared, "tok", "left_semi").distinct())
