@@ -102,7 +102,10 @@ def _with_hashes(rows: DataFrame, n: int = SHINGLE) -> DataFrame:
     size = F.size("_w")
     many = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(n)]))
     shingles = F.when(size >= n, many).when(size > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_g", shingles).drop("_h")
+    # The condition always holds. It depends on the row's place, so that Spark does not move filters on the hashes
+    # below them, where the words' hashes would be taken again for every shingle.
+    fixed = F.when(F.monotonically_increasing_id() >= 0, shingles)
+    return rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_g", fixed).drop("_h")
 
 
 def _minhash(window: Column, seed: int) -> Column:
@@ -110,26 +113,23 @@ def _minhash(window: Column, seed: int) -> Column:
 
 
 def _bands(hashes: Column) -> Column:
-    """(band, value) of every window; the last window may be shorter."""
+    """The bands of every window as numbers; seeds differ in their highest bits, so bands do. The last window may be shorter."""
     windows = F.greatest(F.lit(1), F.ceil((F.size(hashes) - WINDOW) / STEP).cast("int") + 1)
     cut = F.transform(F.sequence(F.lit(0), windows - 1), lambda j: F.slice(hashes, j * STEP + 1, F.lit(WINDOW)))
-    named = lambda w: F.array(*[F.struct(F.lit(band).alias("band"), _minhash(w, seed).alias("value")) for band, seed in enumerate(SEEDS)])
-    return F.flatten(F.transform(cut, named))
+    return F.flatten(F.transform(cut, lambda w: F.array(*[_minhash(w, seed) for seed in SEEDS])))
 
 
-def _keys(hashes: Column) -> Column:
-    return F.transform(hashes, lambda x: F.struct(F.lit(-1).alias("band"), x.alias("value")))
-
-
-def candidates(texts: DataFrame, wanted: DataFrame, ids: Sequence[str]) -> DataFrame:
+def candidates(texts: DataFrame, wanted: DataFrame, ids: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(ids, _template) that agree in a band of two windows, or in a key of a short template. Both sides have _w and _g."""
     distinct = F.array_distinct("_g")
     some = F.slice(F.array_sort(distinct), F.lit(1), F.floor(F.size(distinct) / 4).cast("int") + 1)
-    entries = F.when(F.size(distinct) >= LONG, _bands(F.col("_g"))).otherwise(_keys(some))
-    index = wanted.select("_template", F.explode(entries).alias("_b")).select("_template", "_b.band", "_b.value").distinct()
+    entries = F.when(F.size(distinct) >= LONG, _bands(F.col("_g"))).otherwise(some)
+    index = stored(wanted.select("_template", F.explode(entries).alias("value")).distinct())
+    if index.count() * 96 <= broadcast_bytes:
+        index = F.broadcast(index)
     # Windows for the bands, single hashes for the keys of short templates.
-    asked = texts.filter(F.size("_w") > 0).select(*ids, F.explode(F.concat(_bands(F.col("_g")), _keys(F.col("_g")))).alias("_b"))
-    return asked.select(*ids, "_b.band", "_b.value").join(stored(index), ["band", "value"]).select(*ids, "_template").distinct()
+    asked = texts.filter(F.size("_w") > 0).select(*ids, F.explode(F.concat(_bands(F.col("_g")), F.col("_g"))).alias("value"))
+    return asked.join(index, "value").select(*ids, "_template").distinct()
 
 
 def scan(documents: DataFrame, templates: DataFrame, least: float = LEAST, key: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -144,15 +144,15 @@ def scan(documents: DataFrame, templates: DataFrame, least: float = LEAST, key:
     keyed = documents.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     # Evaluated once per text: the row number keeps Spark from moving the words into every use of them.
     texts = _with_hashes(keyed.select("_key", "_t", words_of(F.col("_text")).alias("_w"), F.monotonically_increasing_id().alias("_row")))
-    found = stored(candidates(texts, wanted, ["_key", "_t"]))
+    found = stored(candidates(texts, wanted, ["_key", "_t"], broadcast_bytes))
 
     # Candidates alone are read again and counted exactly.
     near = found.groupBy("_key", "_t").agg(F.collect_set("_template").alias("_templates"))
     size = found.agg(F.sum(F.octet_length("_template") + 32).alias("n")).first()["n"] or 0
     near = F.broadcast(near) if size <= broadcast_bytes else near
     same = keyed["_key"].eqNullSafe(near["_key"]) & (keyed["_t"] == near["_t"])
-    again = keyed.join(near, same).select(keyed["_key"], "_text", "_templates", F.monotonically_increasing_id().alias("_row"))
-    held = again.select("_key", "_row", "_templates", F.posexplode(_shingles(words_of(F.col("_text")))).alias("_p", "_shingle"))
+    again = keyed.join(near, same).select(keyed["_key"], "_templates", words_of(F.col("_text")).alias("_w"), F.monotonically_increasing_id().alias("_row"))
+    held = again.select("_key", "_row", "_templates", F.posexplode(_shingles(F.col("_w"))).alias("_p", "_shingle"))
     index = wanted.select("license_id", "_template", F.array_distinct(_shingles(F.col("_w"))).alias("_s"))
     index = stored(index.select("license_id", "_template", F.size("_s").alias("_n"), F.explode("_s").alias("_shingle")))
     hit = held.join(index, "_shingle").filter(F.array_contains("_templates", F.col("_template")))
