@@ -278,3 +278,21 @@ v_period_answers as (
 
 def with_clean(select: str) -> str:
     return f"with {CLEAN_SQL} {select}"
+
+
+# busy sessions ------------------------------------------------------------------------------------
+def busy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as web events of few sessions and accounts within little more than an hour, so that every limit refuses some."""
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    eid, uid = F.col("event_id"), F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        eid.alias("id"),
+        F.timestamp_micros(start + F.floor((F.unix_micros("ts") - start) / F.lit(600))).alias("occurred_at"),
+        F.when(eid % 4 != 0, F.concat(F.lit("s"), (uid % 25).cast("string"))).alias("session_id"),
+        F.when(eid % 2 == 0, F.concat(F.lit("a"), (uid % 60).cast("string"))).alias("user_id"),
+    )
+
+
+BUSY_SQL = """v_busy as (
+  select event_id as id, timestamp '2024-01-01' + to_microseconds((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 600) as moment,
+    case when event_id % 4 <> 0 then 's' || (user_id % 25) end as s, case when event_id % 2 = 0 then 'a' || (user_id % 60) end as u from events)"""

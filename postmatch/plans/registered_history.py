@@ -584,32 +584,67 @@ def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return WR.retained_events(events, users, profiles).select("id")
 
 
-@register("subject_export")
+@register(
+    "subject_export",
+    f"""with {B.PROFILES_SQL}, {B.EVENTS_SQL}, {B.DELIVERIES_SQL}, asked as (select profile_id, user_id from v_profiles where deleted_at is not null),
+ids as (
+  select user_id, 'profile' as section, 'profile_id' as field, profile_id::varchar as value, profile_id::varchar as row_id from asked
+  union all select user_id, 'deliveries', 'posting_id', posting_id::varchar, profile_id || '-' || posting_id || '-' || epoch_us(sent_at) from v_deliveries join asked using (profile_id)
+  union all select a.user_id, 'events', 'name', e.name, e.id::varchar from v_events e join asked a using (profile_id))
+select user_id, section, field, value, row_id from ids""",
+)
 def subject_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of every exported record, read back from its JSON, and the record's own key."""
     profiles = B.profiles(spark, sf_dir)
     asked = profiles.filter(F.col("deleted_at").isNotNull())
     owners = profiles.select("profile_id", "user_id")
     sections = {
         "profile": profiles,
-        "deliveries": B.deliveries(spark, sf_dir).join(owners, "profile_id"),
+        "deliveries": B.deliveries(spark, sf_dir).withColumn("micros", F.unix_micros("sent_at")).join(owners, "profile_id"),
         "events": B.events(spark, sf_dir).drop("user_id").join(owners, "profile_id"),
     }
-    return WR.export_subject_data(asked, sections)
+    records = WR.export_subject_data(asked, sections)
+    read = lambda name: F.get_json_object("record", f"$.{name}")
+    section = F.col("section")
+    field = F.when(section == "profile", "profile_id").when(section == "deliveries", "posting_id").otherwise("name")
+    value = F.when(section == "profile", read("profile_id")).when(section == "deliveries", read("posting_id")).otherwise(read("name"))
+    delivery = F.concat_ws("-", read("profile_id"), read("posting_id"), read("micros"))
+    row_id = F.when(section == "profile", read("profile_id")).when(section == "deliveries", delivery).otherwise(read("id"))
+    return records.select("user_id", "section", field.alias("field"), value.alias("value"), row_id.alias("row_id"))
 
 
 # limits ---------------------------------------------------------------------------------------------
 @register(
     "hourly_ceiling",
-    f"""with {B.EVENTS_SQL} select id, row_number() over (partition by date_trunc('hour', occurred_at), user_id is null order by occurred_at, id) as in_hour from v_events""",
+    f"""with {B.BUSY_SQL}, c as (select id, row_number() over (partition by date_trunc('hour', moment), u is null order by moment, id) as in_hour, u is null as anonymous from v_busy)
+select id, in_hour, in_hour <= case when anonymous then 2400 else 900 end as accepted from c""",
 )
 def hourly_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.hourly_ceiling(B.events(spark, sf_dir)).select("id", "in_hour")
-
-
-@register("rate_limit_batch")
+    return L.hourly_ceiling(B.busy_events(spark, sf_dir)).select("id", "in_hour", "accepted")
+
+
+@register(
+    "rate_limit_batch",
+    f"""with recursive {B.BUSY_SQL},
+o as materialized (select *, row_number() over (order by moment, id) as n, date_trunc('hour', moment) as h, u is null as anon from v_busy),
+walk as (
+  select 0::bigint as n, null::bigint as id, null::varchar as reason, []::struct(moment timestamp, s varchar, u varchar)[] as taken, null::timestamp as h, 0 as anonymous, 0 as accounts
+  union all
+  select n, id, reason,
+    case when reason is null then list_append(near, {{'moment': moment, 's': s, 'u': u}}) else near end, h,
+    fresh_anonymous + (reason is null and anon)::int, fresh_accounts + (reason is null and not anon)::int
+  from (select *, case
+      when s is not null and len(list_filter(near, lambda x: x.s = s)) >= 60 then 'session_or_account_limit'
+      when u is not null and len(list_filter(near, lambda x: x.u = u)) >= 60 then 'session_or_account_limit'
+      when anon and fresh_anonymous >= 2400 or not anon and fresh_accounts >= 900 then 'hourly_ceiling' end as reason
+    from (select o.n, o.id, o.moment, o.s, o.u, o.h, o.anon, list_filter(w.taken, lambda x: x.moment > o.moment - interval 1 hour) as near,
+        case when w.h = o.h then w.anonymous else 0 end as fresh_anonymous, case when w.h = o.h then w.accounts else 0 end as fresh_accounts
+      from walk w join o on o.n = w.n + 1)))
+select id, reason from walk where n > 0""",
+)
 def rate_limit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions and accounts limited to sixty events in any hour."""
-    return L.limit_site_events(B.events(spark, sf_dir))
+    """Sessions and accounts limited to sixty events in any hour, the site to its ceilings; the twin takes one event after the other."""
+    return L.limit_site_events(B.busy_events(spark, sf_dir))
 
 
 @register(

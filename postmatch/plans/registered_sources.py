@@ -95,7 +95,29 @@ def source_union_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # pages ----------------------------------------------------------------------------------------------
-@register("page_text")
+#: Tags as depths: the section runs from the article's start to where its depth is back at none.
+PAGE_TEXT_SQL = r"""with s as (select page_id, substr(html, greatest(strpos(html, '<article'), 1)) as h, strpos(html, '<article') > 0 as has from pages),
+tokens as (select page_id, unnest(regexp_extract_all(h, '<!--(?:[^-]|-[^-])*-->|<[^>]*>|[^<]+')) as t, generate_subscripts(regexp_extract_all(h, '<!--(?:[^-]|-[^-])*-->|<[^>]*>|[^<]+'), 1) as i from s where has),
+named as (select *, lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) as tag from tokens),
+deep as (
+  select *, sum(case when t like '<!%' or left(t, 1) <> '<' or tag in {void} then 0 when t like '</%' then -1 else 1 end) over (partition by page_id order by i) as depth from named),
+ended as (select page_id, min(i) as e from deep where depth <= 0 group by 1),
+kept as (select d.* from deep d left join ended using (page_id) where e is null or d.i <= e),
+joined as (
+  select page_id, string_agg(case when left(t, 1) <> '<' then t when t not like '</%' and t not like '<!%' and tag in {breaking} and i > 1 then ' ' else '' end, '' order by i) as x from kept group by 1)
+select page_id, coalesce(trim(regexp_replace({plain}, '[\s\x{A0}]+', ' ', 'g')), '') as section_text, null::varchar as partner, null::varchar as partner_id from s left join joined using (page_id)
+"""
+
+
+def _page_text_sql() -> str:
+    plain = "x"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{entity}', '{char}')"
+    names = lambda tags: "(" + ", ".join(f"'{t}'" for t in sorted(tags)) + ")"
+    return PAGE_TEXT_SQL.replace("{void}", names(P.VOID_TAGS)).replace("{breaking}", names(P.BREAKING_TAGS)).replace("{plain}", plain)
+
+
+@register("page_text", _page_text_sql())
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_pages(B.table(spark, sf_dir, "pages"), ["page_id"], "article", None)
 
