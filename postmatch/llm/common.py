@@ -19,8 +19,6 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 _POWERS: dict[int, np.ndarray] = {}
 BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
 
-PYTHON_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -78,14 +78,17 @@ def best_fit(documents: DataFrame, n_tokens: Column | None = None, capacities: S
     counted = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (word_count(F.col("text").cast("string")) if n_tokens is None else n_tokens).cast("long").alias("_n"),
+        F.monotonically_increasing_id().alias("_row"),  # the same when a task runs again
     )
     total = counted.select(F.sum("_n").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total / shard_tokens))
     parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / longest) - 1).cast("int"))
-    cut = counted.select("doc_id", "_n", F.explode(parts).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece") * F.lit(longest).cast("long")).alias("first_token"),
+    cut = counted.select("doc_id", "_n", "_row", F.explode(parts).alias("piece")).select(
+        "doc_id", "piece", "_row", (F.col("piece") * F.lit(longest).cast("long")).alias("first_token"),
         F.least(F.lit(longest).cast("long"), F.col("_n") - F.col("piece") * F.lit(longest).cast("long")).cast("int").alias("n_tokens"),
-    ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    )
+    # The row's place spreads documents without an id, or with one id, as well.
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(shards)).cast("int")).drop("_row")
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="first", ignore_index=True)

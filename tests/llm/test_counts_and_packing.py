@@ -100,3 +100,10 @@ def test_packed_documents(documents):
                 at += n
             assert at <= capacity and not any(at <= c < capacity for c in packing.CAPACITIES)
     assert packing.best_fit(documents(["x"]).limit(0)).count() == 0
+
+
+def test_rows_without_ids_are_dealt_to_many_shards(documents):
+    df = documents([(None, " ".join(["w"] * 50))] * 400, clash=True)
+    rows = packing.best_fit(df, shard_tokens=1000).collect()
+    shards = {r["shard"] for r in rows}
+    assert len(rows) == 400 and len(shards) == 20 and sum(r["n_tokens"] for r in rows) == 20_000
