@@ -4,6 +4,7 @@ from postmatch.plans import (  # noqa: F401
     registered_funnel,
     registered_history,
     registered_matching,
+    registered_operations,
     registered_run,
     registered_scoring,
     registered_sources,
