@@ -7,6 +7,7 @@ from postmatch.plans import (  # noqa: F401
     registered_operations,
     registered_run,
     registered_scoring,
+    registered_sketches,
     registered_sources,
 )
 from postmatch.plans.registry import ORACLES, QUERIES  # noqa: F401
