@@ -37,11 +37,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """The rows as a written table in the shared folder: cuts lineage and survives lost executors."""
+#: Rows that go to Python at once where a row may hold thousands of numbers.
+WIDE_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, partition_by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+    """The rows as a written table in the shared folder: cuts lineage and survives lost executors.
+
+    `wide`: Python gets rows in small batches while this table is made.
+    """
     path = shared_folder(df.sparkSession)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    try:
+        if wide:
+            conf.set(_BATCH, str(WIDE_ROWS))
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the table
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

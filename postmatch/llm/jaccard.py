@@ -301,7 +301,7 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = met.select(F.col("f").alias("x"), F.col("p.f").alias("y")).distinct()
     bounds = stored(_bounded(first, classes))
     near = bounds.filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y")
-    links = stored(_verified(near, _tokens(_ends(near), texts, classes)))
+    links = stored(_verified(near, _tokens(_ends(near), texts, classes)), wide=True)
     roots = stored(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     # Members that did not link to their list's pivot ask others of its largest component, in a few turns: most
@@ -314,7 +314,7 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         likely = stored(_bounded(asked, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y"))
         if likely.isEmpty():
             break
-        later.append(stored(_verified(likely, _tokens(_ends(likely), texts, classes))))
+        later.append(stored(_verified(likely, _tokens(_ends(likely), texts, classes)), wide=True))
         if later[-1].isEmpty():
             break
         roots = _joined_roots(roots, later[-1])
@@ -359,7 +359,7 @@ def class_links(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met_in = F.transform("l_rows", lambda p: F.transform(F.filter("rows", lambda q: open_pair(p, q)), lambda q: named(p, q)))
     other = block_pairs.select(F.explode_outer(F.flatten(met_in)).alias("e")).select("e.*").filter(F.col("x").isNotNull()).distinct()
     last = stored(_bounded(other, classes).filter(7 * F.col("least") <= F.col("nx") + F.col("ny")).select("x", "y"))
-    for more in (*later, stored(_verified(last, _tokens(_ends(last), texts, classes)))):
+    for more in (*later, stored(_verified(last, _tokens(_ends(last), texts, classes)), wide=True)):
         links = links.unionByName(more)
     return rows, classes, links
 
