@@ -55,3 +55,8 @@ def test_null_and_repeated_ids_and_kept_columns(documents):
 
 def test_empty_table(documents, spark):
     assert repeats.repeat_report(documents(["x"]).limit(0)).count() == 0
+
+
+def test_nothing_to_remove_from_nothing(documents):
+    empty = documents(["x"], clash=True).limit(0)
+    assert repeats.without_repeats(empty).count() == 0 and repeats.without_repeats(empty).columns == empty.columns

@@ -197,3 +197,22 @@ def test_recall(spark):
     for r in found:
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_repeated_rows_and_null_ids(documents, spark):
+    notice = dict(licenses.NOTICES)["GPL-3.0"]
+    rng = random.Random(3)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    rows = [(None, notice), (None, notice), (5, notice), (5, notice), (5, item), (None, item), (None, item), (6, None)]
+    found = licenses.scan(documents(rows, clash=True), licenses.notice_templates(spark)).collect()
+    assert sorted((r["doc_id"] or 0, r["license_id"]) for r in found) == [(0, "GPL-3.0")] * 2 + [(5, "GPL-3.0")] * 2
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None)], "item_id long, text string")
+    leaked = decontamination.leaks(documents(rows), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in leaked) == [(0, 1)] * 4 + [(5, 1)] * 2
+    assert decontamination.without_leaks(documents(rows), bench).count() == 5
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i else [2.0, 0.0]) for i in range(45)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, lambda i: i == 0).collect()
+    assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, 21)) and {r["score"] for r in rows} == {2.0}
