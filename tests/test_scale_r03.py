@@ -14,6 +14,20 @@ from postmatch.operators import dedup, limits
 from postmatch.operators import quality as Q
 
 
+def test_signatures_lose_no_similar_pair(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(36)]
+    sets = [sorted(rng.sample(base, rng.randint(20, 36))) for _ in range(120)]
+    df = spark.createDataFrame([(i, "k", " ".join(s), s) for i, s in enumerate(sets)], "seq long, ad_key string, set string, words array<string>")
+    marked = df.select("seq", *[c.alias(n) for n, c in dedup.signature(F.col("words")).items()])
+    other = marked.select(*[F.col(c).alias(f"r{c}") for c in marked.columns])
+    kept = {tuple(r) for r in marked.join(other).filter(dedup.maybe_similar("", "r", 0.8)).select("seq", "rseq").collect()}
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8}
+    assert near <= kept and len(kept) < len(sets) ** 2
+    got = {tuple(r) for r in dedup.similar_classes(df, df).select("set", "k_set").collect()}
+    assert got == {(" ".join(sets[i]), " ".join(sets[j])) for i, j in near}
+
+
 def test_opening_words_need_only_the_start_of_a_text(spark):
     texts = ["Ação " * 3 + "x" * 2000 + " fim c++ c#", "–— a‑b\t ﬁm  \n z", " ".join(f"p{i}" for i in range(900)), ("c++ " * 600), None, "", "  \x1c\x1f "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
