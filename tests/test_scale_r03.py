@@ -57,3 +57,11 @@ def test_word_starts_are_sought_near_contexts_only():
     for _ in range(60):
         text = " ".join(rng.choice(parts) for _ in range(60))
         assert X.course_starts_of(text) == plain(text)
+
+
+def test_signups_read_once_break_the_same_rules(spark):
+    docs = ['{"perfil": {"curso": "Letras", "periodo": 2, "habilidades": ["sql"], "areas_de_interesse": ["obras"]}, "aceitou_termos": true}', "no json", None, "{}", '{"perfil": {"curso": 3, "pessoa_com_deficiencia": "sim"}, "extra": 1}']
+    df = spark.createDataFrame([(d,) for d in docs], "signup string")
+    rows = lambda x: [sorted(r["violations"]) for r in x.collect()]
+    plain = Q.with_violations(df, Q.signup_rules(F.col("signup"), ["obras"]))
+    assert rows(Q.check_signups(df, "signup", ["obras"])) == rows(plain)
