@@ -59,6 +59,21 @@ def test_word_starts_are_sought_near_contexts_only():
         assert X.course_starts_of(text) == plain(text)
 
 
+def test_unsent_pairs_are_candidates_less_sent(spark):
+    members = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(4, 1)], "profile_id long, class_id long")
+    pairs = spark.createDataFrame([("s", str(q), q, c, "near") for q in range(10) for c in range(3) if (q + c) % 4], "source string, external_id string, seq long, class_id long, proximity string")
+    sent = spark.createDataFrame([(4, 1), (4, 1), (7, 2), (8, 3), (99, 1), (None, 2)], "profile_id long, seq long")
+    old = C.profile_classes, C.class_pairs
+    try:
+        C.profile_classes, C.class_pairs = lambda p: (None, members), lambda *a: pairs
+        got = C.unsent_candidate_pairs(None, None, sent)
+    finally:
+        C.profile_classes, C.class_pairs = old
+    want = C.without_sent(pairs.join(members, "class_id"), sent, ["profile_id", "seq"])
+    rows = lambda df: sorted(tuple(r) for r in df.select("profile_id", "seq").collect())
+    assert rows(got) == rows(want) and len(rows(got)) < pairs.join(members, "class_id").count()
+
+
 def test_signups_read_once_break_the_same_rules(spark):
     docs = ['{"perfil": {"curso": "Letras", "periodo": 2, "habilidades": ["sql"], "areas_de_interesse": ["obras"]}, "aceitou_termos": true}', "no json", None, "{}", '{"perfil": {"curso": 3, "pessoa_com_deficiencia": "sim"}, "extra": 1}']
     df = spark.createDataFrame([(d,) for d in docs], "signup string")
