@@ -14,6 +14,30 @@ from postmatch.operators import dedup, limits
 from postmatch.operators import quality as Q
 
 
+def test_site_limits_equal_one_event_after_the_other(spark, monkeypatch):
+    monkeypatch.setattr(limits, "ceiling", lambda anonymous: F.when(anonymous, 150).otherwise(100))
+    rng = random.Random(4)
+    hour = limits.HOUR
+    rows = []
+    for i in range(1500):
+        at = rng.randrange(3 * hour)
+        rows.append((i, at, rng.choice(["a", "b", None]), rng.choice(["x", "y", None, None])))
+    rows += [(2000 + i, 5 * hour + i * 1000, "one", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, at long, session_id string, user_id string").withColumn("occurred_at", F.timestamp_micros("at"))
+    got = {r["id"]: r["reason"] for r in limits.limit_site_events(df, chunk=40).collect()}
+    taken, placed, want = [], {}, {}
+    for i, at, s, u in sorted(rows, key=lambda r: (r[1], r[0])):
+        near = [t for t in taken if t[0] > at - hour]
+        full = (s is not None and sum(t[1] == s for t in near) >= 60) or (u is not None and sum(t[2] == u for t in near) >= 60)
+        key = (at // hour, u is None)
+        over = placed.get(key, 0) >= (150 if u is None else 100)
+        want[i] = "session_or_account_limit" if full else "hourly_ceiling" if over else None
+        if want[i] is None:
+            taken.append((at, s, u))
+            placed[key] = placed.get(key, 0) + 1
+    assert got == want and len(set(want.values())) == 3
+
+
 def test_signatures_lose_no_similar_pair(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(36)]
